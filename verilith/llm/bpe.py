@@ -38,9 +38,12 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 CACHE_PIECES = 600_000
 #: Characters handled at once, so that work arrays stay in cache.
 BLOCK_CHARS = 1_000_000
+PIECES_AT_ONCE = 16_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 48
 SEPARATOR = 0x10FFFF
+#: Sizes, as powers of two, of the table that tells most spans that are no token and of the table of known pairs.
+FILTER_BITS, PAIR_BITS = 20, 20
 
 
 def _classes() -> np.ndarray:
@@ -137,53 +140,66 @@ class Vocabulary:
         self.pair_tokens = np.array(list(self.pairs.values()), np.int64)[order]
         rng = np.random.default_rng(1)
         self.byte_values = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        powers = [1]
-        for _ in range(LONG_PIECE + 1):
-            powers.append(powers[-1] * _MULTIPLIER % (1 << 64))
-        self.powers = np.array(powers, np.uint64)
-        short = [(b, t) for b, t in self.ranks.items() if len(b) <= LONG_PIECE]
-        hashes = np.array([self._hash(b) for b, _ in short], np.uint64)
-        bits = 20
-        self.table_shift = np.uint64(64 - bits)
-        self.table_keys = np.zeros(1 << bits, np.uint64)
-        self.table_tokens = np.full(1 << bits, -1, np.int32)
-        for h, (_, t) in zip(hashes.tolist(), short):
-            slot = (h * 0xD6E8FEB86659FD93 % (1 << 64)) >> (64 - bits)
-            while self.table_tokens[slot] >= 0:
-                slot = (slot + 1) % (1 << bits)
-            self.table_keys[slot], self.table_tokens[slot] = h, t
-        used = np.append(self.table_tokens >= 0, False)
-        run = longest = 0
-        for u in used.tolist():
-            run = run + 1 if u else 0
-            longest = max(longest, run)
-        self.table_probes = longest
-
-    def _hash(self, data: bytes) -> int:
-        h = 0
-        for b in data:
-            h = (h * _MULTIPLIER + int(self.byte_values[b])) % (1 << 64)
-        return h
-
-    def _tokens(self, hashes: np.ndarray) -> np.ndarray:
-        """Tokens of byte strings by their hashes, or -1."""
-        slot = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> self.table_shift).astype(np.int64)
-        found = np.where(self.table_keys[slot] == hashes, self.table_tokens[slot], -1)
-        open_ = np.flatnonzero((found < 0) & (self.table_tokens[slot] >= 0))
-        for _ in range(self.table_probes):
-            if not len(open_):
-                break
-            slot[open_] = (slot[open_] + 1) % len(self.table_keys)
-            s = slot[open_]
-            hit = self.table_keys[s] == hashes[open_]
-            found[open_[hit]] = self.table_tokens[s[hit]]
-            open_ = open_[~hit & (self.table_tokens[s] >= 0)]
-        return found
+        self.powers = np.ones(1, np.uint64)
+        self.inverses = np.ones(1, np.uint64)
+        self._power(1 << 16)
+        short = [t for b, t in self.ranks.items() if len(b) <= LONG_PIECE]
+        flat = np.frombuffer(b"".join(self.bytes[t] for t in short), np.uint8)
+        ends = np.cumsum(self.lengths[short])
+        hashes = self._spans(self._sums(flat), ends - self.lengths[short], ends)
+        order = np.argsort(hashes)
+        self.token_hashes, self.token_of = np.append(hashes[order], np.uint64(0)), np.append(np.array(short, np.int64)[order], -1)
+        slot = hashes[order] >> np.uint64(64 - FILTER_BITS)
+        self.token_slot = np.full(1 << FILTER_BITS, -1, np.int32)
+        self.token_slot[slot[::-1]] = np.arange(len(short))[::-1]
+        self.token_probes = int(np.bincount(slot.astype(np.int64)).max())
+        #: Token pairs whose answer is known: the pair, twice, plus whether they stay apart.
+        self.known_pairs = np.full(1 << PAIR_BITS, -1, np.int64)
+
+    def _power(self, n: int) -> None:
+        if len(self.powers) <= n:
+            inverse = pow(_MULTIPLIER, -1, 1 << 64)
+            with np.errstate(over="ignore"):
+                self.powers = np.cumprod(np.r_[1, np.full(2 * n, _MULTIPLIER, np.uint64)], dtype=np.uint64)
+                self.inverses = np.cumprod(np.r_[1, np.full(2 * n, inverse, np.uint64)], dtype=np.uint64)
+
+    def _sums(self, flat: np.ndarray) -> np.ndarray:
+        self._power(len(flat))
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.byte_values[flat] * self.powers[: len(flat)], dtype=np.uint64)))
+
+    def _spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the bytes between two positions that doesn't depend on where they lie."""
+        x = (sums[end] - sums[start]) * self.inverses[start]
+        x ^= x >> np.uint64(29)
+        return x * np.uint64(0xD6E8FEB86659FD93)
+
+    def _tokens(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are those of tokens, and the tokens."""
+        slot = self.token_slot[hashes >> np.uint64(64 - FILTER_BITS)]
+        open_ = np.flatnonzero(slot >= 0)
+        k, wanted = slot[open_], hashes[open_]
+        found = self.token_hashes[k] == wanted
+        for _ in range(self.token_probes - 1):
+            more = np.flatnonzero(~found & (k + 1 < len(self.token_hashes)))
+            k[more] += 1
+            found[more] = self.token_hashes[k[more]] == wanted[more]
+        return open_[found], self.token_of[k[found]]
 
     def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``apart`` of many pairs; answers are kept in a table of fixed size."""
+        key = a * self.size + b
+        slot = ((key.astype(np.uint64) * np.uint64(_MULTIPLIER)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        kept = self.known_pairs[slot]
+        new = np.flatnonzero(kept >> 1 != key)
+        if len(new):
+            answer = self._work_out(a[new], b[new])
+            kept[new] = key[new] * 2 + answer
+            self.known_pairs[slot[new]] = kept[new]
+        return (kept & 1).astype(bool)
+
+    def _work_out(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), bool)
         at, limit = np.arange(len(a)), np.full(len(a), 1 << 60, np.int64)
-        a, b = a.astype(np.int64), b.astype(np.int64)
         while len(at):
             key = a * self.size + b
             k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -200,49 +216,65 @@ class Vocabulary:
         return out
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Token arrays, as bytes, of pieces of up to LONG_PIECE bytes each."""
+        """Token arrays, as bytes, of pieces of up to LONG_PIECE bytes each.
+
+        All pieces lie in one buffer.  First every span that is a token is
+        found, length by length; then the prefixes are filled in, all pieces
+        in step, the longest token that ends there first.
+        """
         if not pieces:
             return []
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        width = int(lengths[0])
-        data = np.zeros((len(pieces), width), np.uint8)
-        flat = np.frombuffer(b"".join([pieces[i] for i in order.tolist()]), np.uint8)
-        data[np.arange(width) < lengths[:, None]] = flat
-        prefix = np.zeros((width + 1, len(pieces)), np.uint64)
-        for p in range(width):
-            prefix[p + 1] = prefix[p] * np.uint64(_MULTIPLIER) + self.byte_values[data[:, p]]
-        last = np.full((width + 1, len(pieces)), -1, np.int32)
-        alive = np.searchsorted(-lengths, -np.arange(width + 1), side="right")
-        for end in range(1, width + 1):
-            open_ = np.arange(alive[end])
-            for start in range(max(0, end - self.longest), end):
-                if not len(open_):
-                    break
-                token = self._tokens(prefix[end, open_] - prefix[start, open_] * self.powers[end - start])
-                maybe = np.flatnonzero(token >= 0)
-                if start and len(maybe):
-                    maybe = maybe[self._apart(last[start, open_[maybe]], token[maybe])]
-                if len(maybe):
-                    last[end, open_[maybe]] = token[maybe]
-                    keep = np.ones(len(open_), bool)
-                    keep[maybe] = False
-                    open_ = open_[keep]
-        tokens = np.zeros((len(pieces), width), self.dtype)
-        at, count, rows = lengths.copy(), np.zeros(len(pieces), np.int64), np.arange(len(pieces))
+        stops = np.cumsum(lengths)
+        begins = stops - lengths
+        sums = self._sums(flat)
+        room = np.repeat(stops, lengths) - np.arange(len(flat))  # bytes from here to the piece's end
+        offset = np.arange(len(flat)) - np.repeat(begins, lengths)
+        at = np.arange(len(flat))
+        starts, sizes, tokens = [], [], []
+        for size in range(1, min(self.longest, int(lengths.max())) + 1):
+            if size > 1:
+                at = at[room[at] >= size]
+            hashes = self._spans(sums, at, at + size)
+            hit, token = self._tokens(hashes)
+            starts.append(at[hit])
+            sizes.append(np.full(len(hit), size, np.int64))
+            tokens.append(token)
+        start, size, token = (np.concatenate(x[::-1]) for x in (starts, sizes, tokens))
+        order = np.argsort(start + size, kind="stable")  # each length's spans are a sorted run
+        end_in_piece = (offset[start] + size).astype(np.uint8)
+        order = order[np.argsort(end_in_piece[order], kind="stable")]
+        start, size, token, end_in_piece = start[order], size[order], token[order], end_in_piece[order]
+        end = start + size  # the entry of a prefix lies at its end
+        first = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])
+        many = np.diff(np.r_[first, len(end)])
+        steps = np.searchsorted(end_in_piece[first], np.arange(1, int(lengths.max()) + 2))
+        last = np.full(len(flat) + 1, -1, np.int64)
+        for low, high in zip(steps, steps[1:]):
+            k, left = first[low:high], many[low:high]
+            while len(k):
+                fits = offset[start[k]] == 0
+                inner = np.flatnonzero(~fits)
+                if len(inner):
+                    fits[inner] = self._apart(last[start[k[inner]]], token[k[inner]])
+                good = k[fits]
+                last[end[good]] = token[good]
+                k, left = k[~fits] + 1, left[~fits] - 1
+                if (left <= 0).any():
+                    raise ValueError("the vocabulary lacks single bytes")
+        # read off backwards, all pieces in step
+        width = int(lengths.max())
+        out = np.zeros((len(pieces), width), self.dtype)
+        at, count, rows = stops.copy(), np.zeros(len(pieces), np.int64), np.arange(len(pieces))
         while len(rows):
-            token = last[at[rows], rows]
+            token = last[at[rows]]
             count[rows] += 1
-            tokens[rows, width - count[rows]] = token
+            out[rows, width - count[rows]] = token
             at[rows] -= self.lengths[token]
-            rows = rows[at[rows] > 0]
-        out: list[bytes] = [b""] * len(pieces)
-        whole, size = tokens.tobytes(), self.dtype.itemsize
-        for k, (i, n) in enumerate(zip(order.tolist(), count.tolist())):
-            stop = (k + 1) * width * size
-            out[i] = whole[stop - n * size : stop]
-        return out
+            rows = rows[at[rows] > begins[rows]]
+        whole, each = out.tobytes(), self.dtype.itemsize
+        return [whole[stop - n * each : stop] for stop, n in zip(range(width * each, len(whole) + 1, width * each), count.tolist())]
 
     def boundaries(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where pieces begin, in texts that lie one behind the other and begin at ``starts``."""
@@ -296,20 +328,19 @@ class Vocabulary:
         """Each text's tokens as the bytes of an array of ``dtype``."""
         pieces, counts = self.pieces(texts)
         found = list(map(self.cache.get, pieces))
-        if None in found:
+        missing = [k for k, tokens in enumerate(found) if tokens is None]
+        if missing:
             if len(self.cache) > CACHE_PIECES:
                 self.cache.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in self.cache]
+            new = list(dict.fromkeys([pieces[k] for k in missing]))
             raw = [p.encode("utf-8", "surrogatepass") for p in new]
-            short = [k for k, r in enumerate(raw) if len(r) <= LONG_PIECE]
-            for k, tokens in zip(short, self.encode_pieces([raw[k] for k in short])):
-                self.cache[new[k]] = tokens
-            long = {}
-            for k, r in enumerate(raw):
-                if len(r) > LONG_PIECE:
-                    long[new[k]] = np.array(self.read_off(self.last_tokens(r)), self.dtype).tobytes()
-            local = {**self.cache, **long} if len(long) > 1000 else None
-            found = [local[p] for p in pieces] if local else [self.cache.get(p) or long[p] for p in pieces]
+            long = {p: np.array(self.read_off(self.last_tokens(r)), self.dtype).tobytes() for p, r in zip(new, raw) if len(r) > LONG_PIECE}
+            short = [(p, r) for p, r in zip(new, raw) if len(r) <= LONG_PIECE]
+            for i in range(0, len(short), PIECES_AT_ONCE):
+                some = short[i : i + PIECES_AT_ONCE]
+                self.cache.update(zip([p for p, _ in some], self.encode_pieces([r for _, r in some])))
+            for k in missing:
+                found[k] = self.cache.get(pieces[k]) or long[pieces[k]]
         ends = np.cumsum(counts).tolist()
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
