@@ -7,8 +7,11 @@ agree in both are one document to every operator: they get the same decision.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 from collections.abc import Iterable
+from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +50,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
-    set_ = spark.conf.get("spark.checkpoint.dir", None)
-    return set_ or tempfile.mkdtemp(prefix="shared-")
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, as a local path, below the one that all executors share.
+
+    Its files are memory-mapped, so ``spark.checkpoint.dir`` has to be mounted
+    (a ``file:`` URL or a path); only where it is unset a temporary one is made.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        return tempfile.mkdtemp(prefix=f"{name}-")
+    parts = urlparse(place)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{place} can't be memory-mapped; mount it and set spark.checkpoint.dir to the mounted path")
+    path = os.path.join(parts.path, f"{name}-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
 
 
 def text_hash(text: Column) -> Column:
