@@ -58,15 +58,14 @@ def word_characters() -> np.ndarray:
     return _WORD[0]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and the number of each text's."""
-    lowered = [t.lower() for t in texts]
-    points = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = word_characters()[points]
+def hash_runs(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of characters that ``table`` has, and the number of each text's."""
+    points = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = table[points]
     start = word.copy()
     start[1:] &= ~word[:-1]
     at = np.flatnonzero(start)
-    ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     counts = np.diff(np.searchsorted(at, np.r_[0, ends]))
     if not len(at):
         return np.zeros(0, np.uint64), counts
@@ -79,6 +78,11 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(letters, first) + sizes.astype(np.uint64)), counts
 
 
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, and the number of each text's."""
+    return hash_runs([t.lower() for t in texts], word_characters())
+
+
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of the word pairs of all texts, and the number of each text's."""
     words, counts = word_hashes(texts)
