@@ -92,3 +92,12 @@ def join_small(big: DataFrame, small: DataFrame, key: str, rows: int, salts: int
     big = big.withColumn(a, F.floor(F.rand(7) * salts).cast("int"))
     small = small.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.join(small, same & (quoted(a) == quoted(b)), how).drop(other, a, b)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the folder that all executors share, and read again."""
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kept-")
+    path = f"{place}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
