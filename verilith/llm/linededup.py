@@ -41,7 +41,7 @@ def covered(docs: DataFrame, doc_id: str, text: str, size: int = WINDOW) -> Data
     firsts = found.groupBy("w1", "w2").agg(F.min("at").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
     later = found.join(firsts, ["w1", "w2"]).where("at > first").select("at.i", "at.h", "at.p")
     sets = later.groupBy("i", "h").agg(F.collect_set("p").alias("p"))
-    return sets.select("i", "h", F.array_distinct(F.flatten(F.array(*[F.transform("p", lambda x, j=j: x + j) for j in range(size)]))).alias("removed"))
+    return sets.select("i", "h", F.array_distinct(F.flatten(F.transform("p", lambda x: F.sequence(x, x + size - 1)))).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, count: str | None = None) -> DataFrame:
