@@ -92,8 +92,8 @@ def substring_spans(line: Column, query: Column) -> Column:
 
 def varuint_size(value: Column) -> Column:
     """Bytes of a number in groups of seven bits."""
-    out = F.lit(10)
-    for k in range(9, 0, -1):
+    out = F.lit(9)
+    for k in range(8, 0, -1):
         out = F.when(value < (1 << (7 * k)), k).otherwise(out)
     return big(out)
 

@@ -58,9 +58,8 @@ def report(chunks: DataFrame, found: DataFrame, level: str = "deep") -> DataFram
 
 
 def attested(rows: DataFrame) -> DataFrame:
-    """(container_id, record): one JSON object each, keys in alphabetical order, with a final LF."""
-    names = sorted(rows.columns)
-    return rows.select("container_id", F.concat(F.to_json(F.struct(*names)), F.lit("\n")).alias("record"))
+    """``rows`` with ``record``: one JSON object each, keys in alphabetical order, with a final LF."""
+    return rows.withColumn("record", F.concat(F.to_json(F.struct(*sorted(rows.columns))), F.lit("\n")))
 
 
 def attest(chunks: DataFrame, summary: dict, level: str = "deep") -> str:
