@@ -98,7 +98,7 @@ def test_line_reads(spark):
 @pytest.mark.parametrize("kind", sorted(corpora.KINDS))
 def test_corpora_survive(spark, kind):
     text = corpora.validation_text(kind, seed=3, target_bytes=6000)
-    assert text == corpora.validation_text(kind, seed=3, target_bytes=6000) != corpora.validation_text(kind, seed=4, target_bytes=6000) or kind in ("c3",)
+    assert text == corpora.validation_text(kind, seed=3, target_bytes=6000) and len(text.encode()) >= 6000
     whole, plain = stored(spark, text, ChunkOptions(1500, 2048))
     assert b"".join(A.export(plain, "c")) == text.encode()
     assert V.violations(whole).count() == 0
