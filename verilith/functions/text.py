@@ -1,5 +1,8 @@
 """Text as bytes and lines, tokens and n-grams, in Catalyst expressions.
 
+Where an expression would need more than linear time, as running sums and
+spans would, it is a function over Arrow batches.
+
 A line goes up to and with its LF; a last line may lack it; empty text has
 none.  Offsets and sizes are bytes.
 """
@@ -8,12 +11,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE = "[^\n]*\n|[^\n]+"
 TOKEN = "[A-Za-z0-9_-]+"
-RUNS = "[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+"
 
 
 def big(c: Column) -> Column:
@@ -65,29 +70,67 @@ def query_keys(query: str, kind: str, n: int = 3) -> list[str]:
     return sorted(set(found), key=str.encode)
 
 
+def _arrow(f, kind: str, many: int):
+    f.__annotations__ = {**dict.fromkeys(f.__code__.co_varnames[:many], pa.Array), "return": pa.Array}
+    return F.arrow_udf(f, kind)
+
+
+def _running(sizes: pa.Array) -> pa.Array:
+    flat = sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(sizes), 0).to_numpy(zero_copy_only=False)))).astype(np.int32)
+    sums = np.concatenate(([0], np.cumsum(flat)))
+    at = sums[:-1] - np.repeat(sums[offsets[:-1]], np.diff(offsets))
+    null = pc.is_null(sizes).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)), pa.array(at))
+
+
 def running(sizes: Column) -> Column:
-    """Sums of all that came before, one for each element."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(sizes, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    """Sums of all that came before, one for each element.
 
+    A fold that appends to an array copies it at each step; this is linear.
+    """
+    return _arrow(_running, "array<bigint>", 1)(sizes)
 
-def token_spans(line: Column, keys: list[str]) -> Column:
-    """(offset, length) in bytes of the tokens among ``keys``."""
-    runs = F.regexp_extract_all(line, F.lit(RUNS), F.lit(0))
-    at = running(F.transform(runs, size))
-    each = F.zip_with(runs, at, lambda r, a: F.struct(a.alias("offset"), size(r).alias("length"), F.lower(r).alias("key")))
-    return F.transform(F.filter(each, lambda s: s["key"].isin(keys)), lambda s: F.struct(s["offset"], s["length"]))
 
+SPANS = "array<struct<offset:bigint,length:bigint>>"
 
-def substring_spans(line: Column, query: Column) -> Column:
-    """(offset, length) in bytes of all occurrences, overlapping ones too.
 
-    Candidates are the positions at which the parts between occurrences of
-    the first character end, so the work is linear in the line.
+def _span_lists(found: list[list[tuple[int, int]] | None]) -> pa.Array:
+    return pa.array([None if f is None else [{"offset": a, "length": b} for a, b in f] for f in found], pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))
+
+
+def token_spans(line: Column, keys: list[str]) -> Column:
+    """(offset, length) in bytes of the tokens among ``keys``.
+
+    Every byte that isn't ASCII is a delimiter, so tokens are found in the
+    bytes, in one pass.
     """
-    n = F.length(query)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(line) - n + 1, F.lit(1))), lambda i: F.substring(line, i, n) == query)
-    return F.transform(places, lambda i: F.struct(big(F.octet_length(F.left(line, i - 1))).alias("offset"), size(query).alias("length")))
+    wanted, pattern = {k.encode() for k in keys}, re.compile(TOKEN.encode())
+
+    def spans(lines: pa.Array) -> pa.Array:
+        return _span_lists([None if v is None else [(m.start(), m.end() - m.start()) for m in pattern.finditer(v.encode()) if m.group().lower() in wanted] for v in lines.to_pylist()])
+
+    return _arrow(spans, SPANS, 1)(line)
+
+
+def substring_spans(line: Column, query: Column) -> Column:
+    """(offset, length) in bytes of all occurrences, overlapping ones too."""
+
+    def spans(lines: pa.Array, queries: pa.Array) -> pa.Array:
+        out = []
+        for value, wanted in zip(lines.to_pylist(), queries.to_pylist()):
+            if value is None or wanted is None:
+                out.append(None)
+                continue
+            raw, part, found = value.encode(), wanted.encode(), []
+            at = raw.find(part) if part else -1
+            while at >= 0:
+                found.append((at, len(part)))
+                at = raw.find(part, at + 1)
+            out.append(found)
+        return _span_lists(out)
+
+    return _arrow(spans, SPANS, 2)(line, query)
 
 
 def varuint_size(value: Column) -> Column:

@@ -46,7 +46,7 @@ def verified(lines: DataFrame, kind: str, query: str, keys: list[str]) -> DataFr
     """Candidate lines with all their spans, none if the text doesn't bear the query out."""
     own = spans(kind, query, keys)
     if kind == "token":
-        own = F.when(F.size(F.array_intersect(T.tokens(F.col("line")), F.array(*map(F.lit, keys)))) == len(keys), own).otherwise(F.array().cast("array<struct<offset:bigint,length:bigint>>"))
+        own = F.when(F.size(F.array_intersect(T.tokens(F.col("line")), F.array(*map(F.lit, keys)))) == len(keys), own).otherwise(F.array().cast(T.SPANS))
     return lines.withColumn("spans", own)
 
 
