@@ -196,6 +196,15 @@ def test_languages_of_held_out_texts(spark):
     assert set(out.columns) == set(docs.columns)  # columns of these names are replaced
 
 
+def test_long_texts_keep_their_language(spark):
+    docs = frame(spark, [(k, spoken(lang, k * 7 + j), lang, "s") for k in range(30) for j, lang in enumerate(WORDS)])
+    known = langid.dictionaries(docs)
+    long = [(100 + j, spoken(lang, 900 + j, 600_000), lang, "s") for j, lang in enumerate(WORDS)]
+    assert min(len(t.encode()) for _, t, _, _ in long) > 2_500_000 and max(len(t.encode()) for _, t, _, _ in long) > 3_000_000
+    out = langid.identify(frame(spark, long), known).select("doc_id", "lang", "language", "language_margin").collect()
+    assert all(r.language == r.lang and r.language_margin > 4 * langid.MARGIN for r in out) and len(out) == 3
+
+
 def test_languages_of_awkward_rows(spark):
     docs = frame(spark, AWKWARD)
     known = langid.dictionaries(docs)

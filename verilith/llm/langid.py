@@ -4,6 +4,11 @@ For each language a Zstandard dictionary is made of raw text: labelled
 documents in the order of a hash of their id, up to a bounded size.  A text
 is compressed whole (lower case, all but letters as spaces) with each
 dictionary and gets the language whose result is the smallest.  Where the next one is hardly larger, it is rejected.
+
+What a dictionary saves at the start of a text levels off, as the text itself
+becomes the better dictionary.  So the text is compressed in blocks of fixed
+size, each with the dictionary alone, and the sizes are summed: the margin of
+a long text is then that of its blocks, whatever its length.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from verilith.llm.common import fresh, quoted
 SAMPLE_ROWS = 200
 DICTIONARY_BYTES = 40_000
 LEVEL = 6
+#: A text is compressed in blocks of so many bytes; all blocks count.
+BLOCK_BYTES = 8192
 #: Rejected if the next language takes fewer bytes more than this share of the smallest result ...
 MARGIN = 0.005
 #: ... or fewer than so many bytes more.
@@ -46,8 +53,11 @@ def words_of(text: str) -> bytes:
     return re.sub(r"[\W\d_]+", " ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def sizes(raw: bytes, known: list[zstandard.ZstdCompressor]) -> list[int]:
-    return [len(c.compress(raw)) for c in known]
+def sizes(raw: bytes, known: list[zstandard.ZstdCompressor], block: int = BLOCK_BYTES) -> list[int]:
+    """The compressed size of all blocks of ``raw`` together, for each dictionary."""
+    view = memoryview(raw)
+    parts = [view[k : k + block] for k in range(0, len(raw), block)]
+    return [sum(len(c.compress(p)) for p in parts) for c in known]
 
 
 def compressors(content: dict[str, bytes], level: int = LEVEL) -> list[zstandard.ZstdCompressor]:
@@ -67,7 +77,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text", out
     smallest result) that is too narrow.  With one dictionary all texts but
     null ones get its language; with none all are rejected.  Of equal results
     the first in alphabetical order counts, with margin 0.  Texts are
-    compressed whole; rows are independent of each other.  Columns of
+    compressed whole, in blocks; rows are independent of each other.  Columns of
     these names are replaced.
     """
     names = sorted(content)
