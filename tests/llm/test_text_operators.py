@@ -358,6 +358,32 @@ def test_shards_keep_linked_documents_together(spark):
     assert all_ == 40 * 4 * 2 and between <= 0.25 * start[0]
 
 
+def test_shards_gather_all_documents_of_a_line(spark):
+    """Groups of 2 to 30 documents, each with one line of its own, and single documents."""
+    rows, group = [], {}
+    for g, size in enumerate([2] * 30 + [5] * 20 + [12] * 10 + [30] * 4):
+        for _ in range(size):
+            group[len(rows)] = g
+            rows.append((len(rows), f"group {g}\nown {len(rows)}"))
+    rows += [(len(rows) + k, f"alone {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    placed = sharding.assign(docs, shards=8)
+    at = {r["doc_id"]: r["shard"] for r in placed.collect()}
+    sizes = [list(at.values()).count(s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+    pairs = [(a, b) for a in group for b in group if a < b and group[a] == group[b]]
+    split = sum(at[a] != at[b] for a, b in pairs)
+    assert split <= 0.02 * len(pairs)
+    assert sharding.cut_pairs(docs, placed) == (split, len(pairs))
+
+
+def test_groups_above_a_shard_are_split(spark):
+    docs = spark.createDataFrame([(k, f"license\nown {k}" if k < 120 else f"alone {k}") for k in range(200)], "doc_id bigint, text string")
+    at = {r["doc_id"]: r["shard"] for r in sharding.assign(docs, shards=4).collect()}
+    held = sorted(sum(at[k] == s for k in range(120)) for s in range(4))
+    assert held[:1] == [0] and sum(held[2:]) >= 80
+
+
 def test_shards_of_awkward_rows(spark):
     docs = frame(spark, AWKWARD)
     out = sharding.shard_documents(docs, shards=3)

@@ -1,21 +1,28 @@
 """Shards of linked documents by balanced label propagation.
 
-Documents that share a line are linked; for each line its documents form a
-chain (two levels of chains, so that no line is sorted in one task), which
-takes one link fewer than there are documents.  A link's weight is the number
-of lines for which it was made.
-
-Every document begins in a shard that follows from a hash.  In each round a
-join gives each document the shards of its neighbours; those that another shard
-would suit better ask to move there.  Between two shards as many may move as
-want to move the other way, and more while there is room below the quota; those
-who gain most go first.  At last shards that are above the even size hand their
-least linked documents to those below, so sizes differ by one at most.
+All documents that share a line are linked with each other; a line shares one
+vote of each document among the others, so that rare lines count for more in
+each link.  The links themselves are never made: a line
+counts its documents in each shard, and these counts are its vote, which is
+that of all links, in work that is linear in occurrences.  A hot
+line's occurrences are spread over parts, so that none is joined in one task.
+
+Documents begin in groups: that of the least document within two shared lines,
+or, where all lines have more documents than a shard, of the rarest of these
+lines.  Groups larger than a shard are split.  The largest groups are
+placed first, each into the emptiest shard, the others by hash in proportion
+to the room that is left.  Documents without links come last, where room is.
+
+In each round those that another shard would suit better ask to move there.
+Between two shards as many may move as want to move the other way, and more
+while there is room below the quota; those who gain most go first.  At last
+shards that are above the even size hand their least linked documents to those
+below, group by group, so sizes differ by one at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verilith.llm.common import BROADCAST_ROWS, cut, quoted, text_hash
@@ -24,6 +31,12 @@ SHARDS, ROUNDS = 16, 6
 #: Room above the even size while documents move.
 SLACK = 0.05
 CHAINS = 256
+#: So many occurrences of a line at most, about, are joined under one key.
+PART = 4096
+#: The votes of one line, shared among its other documents.
+WHOLE = 1_000_000
+#: So many groups at most, the largest, are placed one by one on the driver.
+PLACED = 4096
 
 
 def nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -43,12 +56,67 @@ def links(found: DataFrame) -> DataFrame:
     return one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
 
 
-def wishes(linked: DataFrame, labels: DataFrame) -> DataFrame:
+def members(found: DataFrame) -> DataFrame:
+    """(line, part, node, n, hub): the occurrences of shared lines, with the line's number of nodes and the least of them, of (node, lines)."""
+    rows = found.select(F.explode("lines").alias("line"), "node").distinct()
+    shared = rows.groupBy("line").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
+    return rows.join(shared, "line").select("line", F.pmod(F.xxhash64("node"), parts()).alias("part"), "node", "n", "hub")
+
+
+def parts() -> Column:
+    """The number of parts of a line with ``n`` nodes."""
+    return F.ceil(F.col("n") / PART)
+
+
+def votes(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, shard, to, w): for each linked node the weight of its links into each shard that has any."""
+    placed = member.select("line", "part", "node", "n").join(labels.select("node", "shard"), "node")
+    each = placed.groupBy("line", "n", "shard").agg(F.count("*").alias("w")).groupBy("line", "n").agg(F.collect_list(F.struct(F.col("shard").alias("to"), "w")).alias("counts"))
+    each = each.select("line", "counts", F.explode(F.sequence(F.lit(0).cast("bigint"), parts() - 1)).alias("part"))
+    all_ = placed.join(each, ["line", "part"]).select("node", "shard", "n", F.explode("counts").alias("c"))
+    others = F.col("c.w") - F.when(F.col("c.to") == F.col("shard"), 1).otherwise(0)
+    return all_.withColumn("w", others * WHOLE).groupBy("node", "shard", F.col("c.to").alias("to")).agg(F.sum(F.expr("w div (n - 1)")).alias("w"))
+
+
+def wishes(member: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, shard, own, to, gain) of all linked nodes; ``to`` is the best other shard."""
-    around = linked.join(labels.select(F.col("node").alias("b"), F.col("shard").alias("to")), "b").groupBy("a", "to").agg(F.sum("w").alias("w"))
-    mine = around.join(labels.select(F.col("node").alias("a"), "shard"), "a")
     best = F.max(F.when(F.col("to") != F.col("shard"), F.struct("w", (-F.col("to")).alias("t"))))
-    return mine.groupBy(F.col("a").alias("node"), "shard").agg(F.coalesce(F.sum(F.when(F.col("to") == F.col("shard"), F.col("w"))), F.lit(0)).alias("own"), best.alias("best")).select("node", "shard", "own", (-F.col("best.t")).alias("to"), (F.coalesce(F.col("best.w"), F.lit(0)) - F.col("own")).alias("gain"))
+    return votes(member, labels).groupBy("node", "shard").agg(F.coalesce(F.sum(F.when(F.col("to") == F.col("shard"), F.col("w"))), F.lit(0)).alias("own"), best.alias("best")).select("node", "shard", "own", (-F.col("best.t")).alias("to"), (F.coalesce(F.col("best.w"), F.lit(0)) - F.col("own")).alias("gain"))
+
+
+def groups(member: DataFrame, even: int) -> DataFrame:
+    """(node, seed): documents of a seed begin in one shard; about ``even`` have the same at most."""
+    few = member.where(F.col("n") <= even)
+    near = few.groupBy("node").agg(F.min("hub").alias("near"))
+    far = few.select("line", "node").join(near, "node").groupBy("line").agg(F.min("near").alias("far"))
+    small = few.select("line", "node").join(far, "line").groupBy("node").agg(F.min("far").alias("far")).join(near, "node")
+    hot = member.where(F.col("n") > even).groupBy("node").agg(F.min(F.struct("n", "hub"))["hub"].alias("hot"))
+    own = F.col("node")
+    out = cut(member.select("node").distinct().join(small, "node", "left").join(hot, "node", "left").select("node", F.coalesce("near", own).alias("near"), F.coalesce("far", "hot").alias("far")))
+    large = out.groupBy("far").count().where(F.col("count") > even).select("far", F.ceil(F.col("count") / even).alias("pieces"))  # fewer than there are shards
+    return out.join(F.broadcast(large), "far", "left").select("node", F.xxhash64("far", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("near"), F.col("pieces")))).alias("seed"))
+
+
+def begin(seeds: DataFrame, shards: int, total: int) -> DataFrame:
+    """(node, shard, seed): the largest groups one by one into the emptiest shard, the others by hash where room is left."""
+    spark, load, table = seeds.sparkSession, [0] * shards, []
+    counts = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "seed").limit(PLACED)
+    for r in counts.collect():
+        s = min(range(shards), key=lambda k: (load[k], k))
+        load[s] += r["n"]
+        table.append((r["seed"], s))
+    known = F.broadcast(spark.createDataFrame(table, "seed bigint, shard int"))
+    return seeds.join(known, "seed", "left").select("node", F.coalesce("shard", by_room(load, total)).alias("shard"), "seed")
+
+
+def by_room(load: list[int], total: int) -> Column:
+    """A shard by the hash of ``seed``, in proportion to the room that the load leaves below the even size."""
+    scale, shards, at, ends = 1 << 30, len(load), 0, []
+    room = [max(0, -(-total // shards) - x) for x in load]
+    for s in range(shards):
+        at += room[s]
+        ends.append(F.when(F.pmod(F.xxhash64("seed", F.lit(shards)), F.lit(scale)) < at * scale // max(sum(room), 1), s))
+    return F.coalesce(*ends, F.lit(shards - 1)).cast("int")
 
 
 def quotas(demand: dict[tuple[int, int], int], sizes: list[int], limit: int) -> dict[tuple[int, int], int]:
@@ -66,12 +134,13 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id:
     """(node, doc_id, hash, shard), one row for each different pair of id and text."""
     spark = docs.sparkSession
     found = nodes(docs, doc_id, text)
-    linked = cut(links(found.select("node", F.coalesce("lines", F.array().cast("array<bigint>")).alias("lines")).distinct()))
+    member = cut(members(found.select("node", "lines")))
     all_ = cut(found.select("node", "doc_id", "hash").distinct())
-    # neighbours begin together: the hash of the least node within two links
-    seed = linked.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
-    seed = linked.join(seed.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("m"))
-    labels = cut(all_.select("node").distinct().join(seed, "node", "left").select("node", F.pmod(F.xxhash64(F.least(F.coalesce("m", "node"), "node")), F.lit(shards)).cast("int").alias("shard")))
+    every = all_.select("node").distinct()
+    total = every.count()
+    seeds = groups(member, max(1, -(-total // shards)))
+    linked = seeds.count()
+    labels = cut(begin(seeds, shards, linked))
 
     def sizes(of: DataFrame) -> list[int]:
         out = [0] * shards
@@ -79,22 +148,24 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id:
             out[r["shard"]] = r["count"]
         return out
 
-    limit = -(-sum(sizes(labels)) * (1 + SLACK) // shards)
+    limit = max(total // shards, -(-linked * (1 + SLACK) // shards))  # documents without links take what room is left
     for n in range(rounds):
         half = F.pmod(F.xxhash64("node", F.lit(n)), F.lit(2)) == 0  # neighbours that swap places gain nothing, so half of all may ask
-        asking = cut(wishes(linked, labels).where((F.col("gain") > 0) & half))
+        asking = cut(wishes(member, labels).where((F.col("gain") > 0) & half))
         allowed = quotas({(r["shard"], r["to"]): r["count"] for r in asking.groupBy("shard", "to").count().collect()}, sizes(labels), int(limit))
         if not allowed:
             break
         table = F.broadcast(spark.createDataFrame([(a, b, q) for (a, b), q in allowed.items()], "shard int, to int, quota bigint"))  # shards x shards rows
         moved = asking.join(table, ["shard", "to"]).withColumn("k", F.row_number().over(Window.partitionBy("shard", "to").orderBy(F.desc("gain"), "node"))).where("k <= quota").select("node", "to")
-        labels = cut(labels.join(moved, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard")))
-    labels = evened(labels, linked, sizes(labels))
+        labels = cut(labels.join(moved, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"), "seed"))
+    alone = every.join(labels, "node", "left_anti").withColumn("seed", F.col("node"))
+    labels = cut(labels.union(alone.select("node", by_room(sizes(labels), total).alias("shard"), "seed")))
+    labels = evened(labels, member, sizes(labels))
     return all_.join(labels, "node")
 
 
-def evened(labels: DataFrame, linked: DataFrame, sizes: list[int]) -> DataFrame:
-    """Sizes that differ by one at most; the documents with the least links to their shard move."""
+def evened(labels: DataFrame, member: DataFrame, sizes: list[int]) -> DataFrame:
+    """(node, shard) with sizes that differ by one at most; the documents with the least links to their shard move, those of a group together."""
     spark, total, n = labels.sparkSession, sum(sizes), len(sizes)
     order = sorted(range(n), key=lambda s: (-sizes[s], s))
     goal = [0] * n
@@ -102,7 +173,7 @@ def evened(labels: DataFrame, linked: DataFrame, sizes: list[int]) -> DataFrame:
         goal[s] = total // n + (k < total % n)
     over = [(s, sizes[s] - goal[s]) for s in range(n) if sizes[s] > goal[s]]
     if not over:
-        return labels
+        return labels.select("node", "shard")
     surplus, first, at = [], [], 0
     for s, q in over:
         surplus.append((s, q, at))
@@ -112,10 +183,10 @@ def evened(labels: DataFrame, linked: DataFrame, sizes: list[int]) -> DataFrame:
         if goal[s] > sizes[s]:
             first.append((at, at + goal[s] - sizes[s], s))
             at += goal[s] - sizes[s]
-    ties = linked.join(labels.select(F.col("node").alias("b"), F.col("shard").alias("there")), "b").join(labels.select(F.col("node").alias("a"), "shard"), "a").where("there = shard").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("own"))
+    ties = wishes(member, labels).select("node", "own")
     table = F.broadcast(spark.createDataFrame(surplus, "shard int, q bigint, base bigint"))
     into = F.broadcast(spark.createDataFrame(first, "low bigint, high bigint, to int"))
-    ranked = labels.join(table, "shard").join(ties, "node", "left").withColumn("k", F.row_number().over(Window.partitionBy("shard").orderBy(F.coalesce("own", F.lit(0)), "node")) - 1).where("k < q").select("node", (F.col("base") + F.col("k")).alias("r"))
+    ranked = labels.join(table, "shard").join(ties, "node", "left").withColumn("k", F.row_number().over(Window.partitionBy("shard").orderBy(F.coalesce("own", F.lit(0)), "seed", "node")) - 1).where("k < q").select("node", (F.col("base") + F.col("k")).alias("r"))
     moved = ranked.join(into, (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high"))).select("node", "to")
     return labels.join(moved, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"))
 
@@ -141,3 +212,15 @@ def cut_weight(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text:
     both = linked.where("a < b").join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b")
     row = both.agg(F.coalesce(F.sum(F.when(F.col("x") != F.col("y"), F.col("w"))), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     return row[0], row[1]
+
+
+def cut_pairs(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int | None = None) -> tuple[int, int]:
+    """The pairs of documents that share a line and lie in different shards, and all that share one, once for each line (of ``most`` documents at most)."""
+    member = members(nodes(docs, doc_id, text).select("node", "lines"))
+    if most is not None:
+        member = member.where(F.col("n") <= most)
+    each = member.join(placed.select("node", "shard"), "node").groupBy("line", "n", "shard").count()
+    pairs = lambda c: F.expr(f"{c} * ({c} - 1) div 2")
+    lines = each.groupBy("line", "n").agg(F.sum(pairs("count")).alias("inside")).withColumn("all", pairs("n"))
+    row = lines.agg(F.coalesce(F.sum(F.col("all") - F.col("inside")), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
+    return row[0], row[1]
