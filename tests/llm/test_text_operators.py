@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -141,8 +142,59 @@ def test_line_dedup_against_brute_force(spark):
     assert rows_of(linededup.dedup_lines(docs), "doc_id", "text") == sorted(((i, want[i, t]) for i, t in rows), key=repr)
 
 
+def brute_clauses(rows):
+    clause, between = re.compile(linededup.CLAUSE), re.compile(linededup.BETWEEN)
+    seen, out = set(), {}
+    for i, t in sorted({(i, t) for i, t in rows}):
+        units = clause.findall(t)
+        keys = [between.sub(" ", u).strip(" ") for u in units]
+        assert "".join(units) == t
+        gone = set()
+        for p in range(len(units) - 2):
+            w = tuple(keys[p : p + 3])
+            if sum(map(len, w)) < linededup.LEAST and not all("\n" in u for u in units[p : p + 3]):
+                continue
+            if w in seen:
+                gone |= {p, p + 1, p + 2}
+            seen.add(w)
+        out[i, t] = ("".join(u for p, u in enumerate(units) if p not in gone), len(gone))
+    return out
+
+
+def test_clauses_against_brute_force(spark):
+    rng = random.Random(6)
+    parts = ["a", " ", "  ", ". ", ",", "\n", "\r\n", "é😀", "。", " \t", "same words of some length here", "\0", "\u00a0x"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for k in range(300)]
+    passage = "one two three four five, six seven eight nine ten eleven. twelve thirteen fourteen fifteen sixteen, seventeen eighteen nineteen. "
+    rows += [(1000 + k, f"{text_of(k, 30)}. {passage}{text_of(50 + k, 30)}") for k in range(5)]  # a passage within a line
+    want = brute_clauses(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = linededup.dedup_lines(docs, count="n", units="clauses")
+    assert rows_of(got, "doc_id", "text", "n") == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
+    assert [("twelve" in r.text) for r in got.where("doc_id >= 1000").orderBy("doc_id").collect()] == [True] + [False] * 4
+
+
+@pytest.mark.parametrize("units", linededup.UNITS)
+def test_line_dedup_is_linear(spark, units):
+    """A text of 200,000 lines, of which the second half repeats the first, and one of 5 million spaces."""
+    half = "".join(f"line {k} of a very long text, which goes on\n" for k in range(100_000))
+    docs = spark.createDataFrame([(1, half + half), (2, " " * 5_000_000), (3, "\n" * 300_000)], "doc_id bigint, text string")
+    began = time.time()
+    out = {r.doc_id: (r.size, r.n) for r in linededup.dedup_lines(docs, count="n", units=units).select("doc_id", F.length("text").alias("size"), "n").collect()}
+    assert time.time() - began < 90
+    assert 0 <= out[1][0] - len(half) < 20 and out[1][1] >= (100_000 if units == "lines" else 199_999)
+    assert out[2] == (5_000_000, 0) and out[3][0] <= 3
+
+
 def test_line_dedup_of_awkward_rows(spark):
     docs = frame(spark, AWKWARD)
+    replaced = linededup.dedup_lines(docs, count="N_CHARS")
+    assert len(replaced.columns) == len(docs.columns) and rows_of(replaced.where("doc_id = 9"), "N_CHARS") == [(0,), (4,)]
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(docs, count="text")
+    assert linededup.dedup_lines(docs, units="clauses").where("doc_id <> 9").exceptAll(docs.where("doc_id <> 9")).count() == 0
+    with pytest.raises(ValueError):
+        linededup.dedup_lines(docs, units="words")
     out = linededup.dedup_lines(docs, count="removed")
     assert out.columns == [*docs.columns, "removed"] and out.count() == len(AWKWARD)
     assert rows_of(out.where("doc_id = 9"), "text", "removed") == [("other text with this id", 0), ("same", 4)]

@@ -29,15 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilith.llm.common import VOCABULARY, fresh, quoted
+from verilith.llm.common import BLOCK_CHARS, VOCABULARY, blocks, fresh, quoted
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 #: Pieces kept in a worker's cache; when it is full it is emptied.
 CACHE_PIECES = 600_000
-#: Characters handled at once, so that work arrays stay in cache.
-BLOCK_CHARS = 1_000_000
 PIECES_AT_ONCE = 16_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 48
@@ -360,19 +358,6 @@ def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     return _LOADED[path]
 
 
-def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    """Whole texts in groups of about ``size`` characters; a longer text is its own group."""
-    group, total = [], 0
-    for text in texts:
-        if group and total + len(text) > size:
-            yield group
-            group, total = [], 0
-        group.append(text)
-        total += len(text)
-    if group:
-        yield group
-
-
 def encode_column(texts: pa.Array, vocab: Vocabulary) -> tuple[list[bytes | None], np.ndarray]:
     """Token bytes of each text of an Arrow column (None where null) and which are null."""
     values = texts.to_pylist()

@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +22,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Sides of a join of up to so many rows are broadcast after they were counted.
 BROADCAST_ROWS = 20_000
 
+#: Characters of texts that are handled at once in a worker.
+BLOCK_CHARS = 1_000_000
+
 
 def fresh(names: Iterable[str], wanted: str) -> str:
     """``wanted``, or with a number behind it, so that no name in ``names`` equals it."""
@@ -75,23 +78,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, rows: int, salts: int = 64, how: str = "inner") -> DataFrame:
-    """Join on ``key`` (nulls equal each other) where ``small`` has ``rows`` rows.
-
-    Up to BROADCAST_ROWS rows it is broadcast and ``big`` isn't moved.  Beyond
-    that both sides are shuffled with a salt, so that a hot key of ``big`` is
-    spread over ``salts`` tasks.
-    """
-    names = [*big.columns, *small.columns]
-    other = fresh(names, "_key")
-    small = small.withColumnRenamed(key, other)
-    same = quoted(key).eqNullSafe(quoted(other))
-    if rows <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), same, how).drop(other)
-    a, b = fresh(names, "_salt"), fresh(names, "_salt_of")
-    big = big.withColumn(a, F.floor(F.rand(7) * salts).cast("int"))
-    small = small.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.join(small, same & (quoted(a) == quoted(b)), how).drop(other, a, b)
+def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[list[str]]:
+    """Whole texts in groups of about ``size`` characters; a longer text is its own group."""
+    group, total = [], 0
+    for text in texts:
+        if group and total + len(text) > size:
+            yield group
+            group, total = [], 0
+        group.append(text)
+        total += len(text)
+    if group:
+        yield group
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verilith.llm.bpe import Vocabulary, blocks, vocabulary
-from verilith.llm.common import VOCABULARY, quoted
+from verilith.llm.bpe import Vocabulary, vocabulary
+from verilith.llm.common import VOCABULARY, blocks, quoted
 
 RULES = ("start", "majority")
 

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilith.llm.bpe import PATTERN, blocks
-from verilith.llm.common import BROADCAST_ROWS, VOCABULARY, quoted, shared_folder
+from verilith.llm.bpe import PATTERN
+from verilith.llm.common import BROADCAST_ROWS, VOCABULARY, blocks, quoted, shared_folder
 
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
