@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -39,6 +40,8 @@ CACHE_PIECES = 600_000
 PIECES_AT_ONCE = 16_000
 #: Longer pieces are encoded one by one.
 LONG_PIECE = 48
+#: Pairs of tokens whose answer is kept for long pieces.
+KNOWN_PAIRS = 1 << 20
 SEPARATOR = 0x10FFFF
 #: Sizes, as powers of two, of the table that tells most spans that are no token and of the table of known pairs.
 FILTER_BITS, PAIR_BITS = 20, 20
@@ -84,6 +87,8 @@ class Vocabulary:
                     self.pairs[a, b] = token
                     break
         self._arrays()
+        self.automaton = None
+        self.known: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
         self.classes = _classes()
 
@@ -121,6 +126,41 @@ class Vocabulary:
                 raise ValueError("the vocabulary lacks single bytes")
         return last
 
+    def long_piece(self, data: bytes) -> list[int]:
+        """``last_tokens`` of a piece of any length, in time linear in it.
+
+        An automaton gives the tokens that end at each byte, the longest
+        first, and answers about pairs of tokens are kept.
+        """
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for token, piece in enumerate(self.bytes):
+                if piece:
+                    self.automaton.add_word(piece.decode("latin-1"), token)
+            self.automaton.make_automaton()
+        lengths, known, done = self.lengths.tolist(), self.known, 0
+        last = [-1] * (len(data) + 1)
+        for at, token in self.automaton.iter(data.decode("latin-1")):
+            end = at + 1
+            if end == done:  # this prefix has its token
+                continue
+            before = last[end - lengths[token]]
+            if before >= 0:
+                apart = known.get((before, token))
+                if apart is None:
+                    if len(known) >= KNOWN_PAIRS:
+                        known.clear()
+                    apart = known[before, token] = self.apart(before, token)
+                if not apart:
+                    continue
+            elif end != lengths[token]:
+                continue
+            last[end] = token
+            done = end
+        if len(data) and (done != len(data) or -1 in last[1:]):
+            raise ValueError("the vocabulary lacks single bytes")
+        return last
+
     def read_off(self, last: list[int]) -> list[int]:
         out, at = [], len(last) - 1
         while at > 0:
@@ -332,7 +372,7 @@ class Vocabulary:
                 self.cache.clear()
             new = list(dict.fromkeys([pieces[k] for k in missing]))
             raw = [p.encode("utf-8", "surrogatepass") for p in new]
-            long = {p: np.array(self.read_off(self.last_tokens(r)), self.dtype).tobytes() for p, r in zip(new, raw) if len(r) > LONG_PIECE}
+            long = {p: np.array(self.read_off(self.long_piece(r)), self.dtype).tobytes() for p, r in zip(new, raw) if len(r) > LONG_PIECE}
             short = [(p, r) for p, r in zip(new, raw) if len(r) <= LONG_PIECE]
             for i in range(0, len(short), PIECES_AT_ONCE):
                 some = short[i : i + PIECES_AT_ONCE]
@@ -343,6 +383,9 @@ class Vocabulary:
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
     def decode(self, tokens: np.ndarray) -> bytes:
+        """The bytes of ids; those that the vocabulary lacks are an error."""
+        if len(tokens) and (int(tokens.min()) < 0 or int(tokens.max()) >= self.size or not self.lengths[tokens].all()):
+            raise ValueError("an id that the vocabulary lacks")
         return b"".join(map(self.bytes.__getitem__, tokens.tolist()))
 
 
@@ -373,8 +416,10 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, text: str = "text"
 
     With ``check`` each document is decoded again and compared byte by byte; a
     difference raises an error.  Null texts give null, empty texts an empty
-    array; texts of any length are encoded whole.  Repeated rows are encoded
-    alike.  A column already called like ``output`` is replaced.
+    array; texts of any length, and pieces of any length within them, are
+    encoded whole, in linear time.  Repeated rows are encoded alike; an empty
+    table gives an empty one.  A column already called like ``output`` is
+    replaced.
     """
 
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -398,14 +443,21 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, text: str = "text"
 def decode_tokens(df: DataFrame, path: str = VOCABULARY, tokens: str = "token_ids", output: str = "decoded") -> DataFrame:
     """The text of each array of token ids in column ``output``.
 
-    Null arrays give null; null or unknown ids inside an array raise an error;
-    bytes that are not UTF-8 become U+FFFD.
+    Null arrays give null and empty ones empty text; null, negative, unused or
+    too large ids inside an array raise an error; bytes that are not UTF-8
+    become U+FFFD; an empty table gives an empty one; a column already called
+    like ``output`` is replaced.
     """
 
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(path)
         for column in columns:
-            yield pa.array([None if v is None else vocab.decode(np.array(v, np.int64)).decode("utf-8", "replace") for v in column.to_pylist()], pa.string())
+            out = []
+            for value in column.to_pylist():
+                if value is not None and None in value:
+                    raise ValueError("a null among the ids")
+                out.append(None if value is None else vocab.decode(np.array(value, np.int64)).decode("utf-8", "replace"))
+            yield pa.array(out, pa.string())
 
     return df.withColumn(output, F.arrow_udf(decode, "string").asNondeterministic()(quoted(tokens)))
 

@@ -41,15 +41,26 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder all executors share.
+def shared_place(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set (tests on one machine) a temporary folder is set.
+    Only on one machine (a local master, as in tests) a temporary folder is
+    made where it is unset; on a cluster that is an error.
     """
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="shared-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_place(df.sparkSession))
     return df.checkpoint()
 
 
@@ -57,11 +68,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder, as a local path, below the one that all executors share.
 
     Its files are memory-mapped, so ``spark.checkpoint.dir`` has to be mounted
-    (a ``file:`` URL or a path); only where it is unset a temporary one is made.
+    (a ``file:`` URL or a path).
     """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if place is None:
-        return tempfile.mkdtemp(prefix=f"{name}-")
+    place = shared_place(spark)
     parts = urlparse(place)
     if parts.scheme not in ("", "file"):
         raise ValueError(f"{place} can't be memory-mapped; mount it and set spark.checkpoint.dir to the mounted path")
@@ -94,7 +103,15 @@ def blocks(texts: list[str], size: int = BLOCK_CHARS) -> Iterator[list[str]]:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the folder that all executors share, and read again."""
     spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kept-")
-    path = f"{place}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_place(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def one_of_each(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """Of rows that agree in ``keys`` the first by all columns (maps aside); nothing is sorted in one task."""
+    order = [quoted(f.name) for f in df.schema.fields if f.dataType.typeName() != "map"]
+    names = [f"_k{k}" for k in range(len(keys))]
+    rows = df.select(*[k.alias(n) for k, n in zip(keys, names)], F.struct(*[quoted(c).alias(f"c{k}") for k, c in enumerate(df.columns)]).alias("row"), F.struct(*order).alias("order"))
+    first = rows.groupBy(*names).agg(F.min_by("row", "order").alias("row"))
+    return first.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(df.columns)])

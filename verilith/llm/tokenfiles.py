@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from base64 import b64decode
 from collections.abc import Iterator
@@ -26,9 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilith.llm.bpe import PATTERN
+from verilith.llm.bpe import PATTERN, vocabulary
 from verilith.llm.common import BROADCAST_ROWS, VOCABULARY, blocks, quoted, shared_folder
 
+#: Texts with a run of so much white space are encoded by the subpackage's own encoder: the library's pattern overflows the stack in runs of a million.
+_SPACES = re.compile(r"\s{10000}")
+
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
 
@@ -40,6 +44,13 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _ENCODINGS[path]
 
 
+def ids_of(text: str, path: str) -> np.ndarray:
+    if _SPACES.search(text):
+        own = vocabulary(path)
+        return np.frombuffer(own.encode([text])[0], own.dtype).astype(id_type(path))
+    return np.array(encoding(path).encode_ordinary(text), id_type(path))
+
+
 def _name(folder: str, part: int, kind: str) -> str:
     return os.path.join(folder, f"{part:06d}.{kind}")
 
@@ -72,7 +83,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_
     Documents are in the table's own order; ``document`` is a document's
     number in its part, ``token_start`` its first token's in all files, counted
     from 0.  Null and empty texts have no tokens, and a place like any other;
-    texts are encoded whole; repeated rows are written again.  An empty table
+    texts are encoded whole, whatever their length and the runs in them;
+    repeated rows are written again.  An empty table
     gives no files but meta.json.  Other columns are ignored.
     """
     folder = folder or shared_folder(docs.sparkSession, "tokens")
@@ -81,14 +93,14 @@ def write_tokens(docs: DataFrame, folder: str | None = None, doc_id: str = "doc_
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, dtype, part = encoding(path), id_type(path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         at, n = 0, 0
         with _Whole(_name(folder, part, "tokens")) as tokens, _Whole(_name(folder, part, "ends")) as ends:
             for batch in batches:
                 sizes = []
                 for group in blocks(["" if v is None else v for v in batch.column(1).to_pylist()]):
-                    found = [encoder.encode_ordinary(value) for value in group]
-                    tokens.write(np.concatenate([np.array(f, dtype) for f in found]).tobytes())
+                    found = [ids_of(value, path) for value in group]
+                    tokens.write(np.concatenate(found).tobytes())
                     sizes += map(len, found)
                 size = np.array(sizes, np.int64)
                 end = at + np.cumsum(size)
