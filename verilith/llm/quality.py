@@ -7,9 +7,14 @@ the Jensen-Shannon distance (root of the divergence, base 2) between them and
 its language's is between 0 and 1.  Too long a distance is a reason to drop
 it; texts that are too short for a histogram aren't judged.
 
-Words are runs of letters in lower case, counted by 64-bit hashes.  A word
-that is common in a language is so in at least one task's share of it, so the
-tasks' common words are candidates, which a second pass counts exactly.
+Words are runs of letters in lower case, counted by 64-bit hashes.  Candidates
+for common words are found with summaries of bounded size: a task keeps its
+2 * COMMON most frequent words of a language, each count less the next one's,
+so it is too small by less than a 2 * COMMON-th of the task's words.  Summed by
+Spark, a common word's counts are still at least that share of the language's
+words, which no more than 2 * COMMON words can have; a second pass counts these
+exactly.  So what a task sends and what the driver holds doesn't grow with the
+number of documents or tasks, just with that of languages.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilith.llm.common import quoted
+from verilith.llm.common import BLOCK_CHARS, cut, quoted
 from verilith.llm.minhash import hash_runs
 
 CLASSES = [r"\p{Ll}", r"\p{Lu}", r"[\p{L}--\p{Ll}--\p{Lu}]", r"\p{Nd}", r"[ ]", r"\n", r"\p{P}"]
@@ -32,7 +38,6 @@ COMMON = 200
 MIN_CHARS, MIN_WORDS = 200, 40
 #: Longest distances of texts that are kept.
 MAX_CLASS, MAX_WORD = 0.32, 0.40
-ROWS = 500
 
 _TABLE: list[np.ndarray] = []
 
@@ -61,10 +66,16 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes.view(np.int64), counts
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Batches (with ``text``) in slices of about ``size`` characters; a longer text is a slice of its own."""
     for batch in batches:
-        for low in range(0, batch.num_rows, ROWS):
-            yield batch.slice(low, ROWS)
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -84,24 +95,34 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
+def summary(keys: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` most frequent keys, their counts less that of the next one."""
+    if len(n) <= size:
+        return keys, n
+    top = np.argpartition(-n, size)[: size + 1]
+    less = n[top].min()
+    return keys[top][n[top] > less], n[top][n[top] > less] - less
+
+
 def first_pass(batches: Iterator[pa.RecordBatch], common: int) -> Iterator[pa.RecordBatch]:
-    """A task's class counts, word totals and common words of each language."""
+    """A task's class counts, word totals and summary of words of each language."""
     classes: dict = {}
     found: dict = {}
+    totals: dict = {}
     for batch in slices(batches):
         for lang, texts in _by_lang(batch):
             classes[lang] = classes.get(lang, 0) + class_counts(texts).sum(axis=0)
             parts = found.setdefault(lang, [])
             parts.append(np.unique(words(texts)[0], return_counts=True))
+            totals[lang] = totals.get(lang, 0) + int(parts[-1][1].sum())
             if len(parts) > 32:
                 found[lang] = [_merged(parts)]
     rows = []
     for lang, counts in classes.items():
         rows += [(lang, "class", k, int(n)) for k, n in enumerate(counts)]
-        keys, n = _merged(found[lang])
-        total = int(n.sum())
-        rows.append((lang, "words", 0, total))
-        rows += [(lang, "word", int(k), int(c)) for k, c in zip(keys[n * common >= total], n[n * common >= total])]
+        keys, n = summary(*_merged(found[lang]), 2 * common)
+        rows.append((lang, "words", 0, totals[lang]))
+        rows += [(lang, "word", int(k), int(c)) for k, c in zip(keys, n)]
     yield _rows(rows)
 
 
@@ -121,23 +142,28 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
     """(class counts, common words' hashes, their counts and that of all others) of each language.
 
     Counted over all documents; null languages are a language of their own.
+    The driver gets fewer than 2 * common words of each language.
     """
     plain = docs.where(quoted(text).isNotNull()).select(quoted(lang).cast("string").alias("lang"), quoted(text).alias("text"))
     schema = "lang string, kind string, key bigint, n bigint"
-    sums = lambda f: plain.mapInArrow(f, schema).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")).collect()
+    sums = lambda f: plain.mapInArrow(f, schema).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    first = cut(sums(lambda b: first_pass(b, common)))
     classes: dict = {}
     totals: dict = {}
-    wanted: dict = {}
-    for row in sums(lambda b: first_pass(b, common)):
+    for row in first.where("kind <> 'word'").collect():
         if row.kind == "class":
             classes.setdefault(row.lang, np.zeros(OTHER + 1, np.int64))[row.key] = row.n
-        elif row.kind == "words":
-            totals[row.lang] = row.n
         else:
-            wanted.setdefault(row.lang, []).append(row.key)
+            totals[row.lang] = row.n
+    # of every language the words that may still be common: true count <= n + total / (2 * common)
+    all_words = F.broadcast(first.where("kind = 'words'").select(F.col("lang").alias("of"), F.col("n").alias("total")))  # one row a language
+    likely = first.where("kind = 'word'").join(all_words, F.col("lang").eqNullSafe(F.col("of"))).where(F.col("n") * 2 * common >= F.col("total"))
+    wanted: dict = {}
+    for row in likely.select("lang", "key").collect():
+        wanted.setdefault(row.lang, []).append(row.key)
     wanted = {k: np.sort(np.array(v, np.int64)) for k, v in wanted.items()}
     counted: dict = {k: {} for k in totals}
-    for row in sums(lambda b: count_pass(b, wanted)):
+    for row in sums(lambda b: count_pass(b, wanted)).collect():
         if row.n * common >= totals[row.lang]:
             counted[row.lang][row.key] = row.n
     out = {}
@@ -165,9 +191,10 @@ def judge(docs: DataFrame, known: dict, doc_id: str = "doc_id", text: str = "tex
     Distances have six decimals.  They are null where the text is null or too
     short for that histogram, or where ``known`` lacks the language; what is
     null is no reason to drop.  A null text is dropped; an empty or short one
-    is kept.  Texts are counted whole; rows are independent of each other, so
-    repeated rows are judged alike; an empty table gives an empty one.  Other
-    columns are ignored.
+    is kept.  Texts are counted whole, in blocks of about BLOCK_CHARS
+    characters of whole texts; rows are independent of each other, so repeated
+    rows are judged alike; a distance equal to its limit is kept; an empty
+    table gives an empty one.  Other columns are ignored.
     """
     plain = docs.select(quoted(doc_id).alias("doc_id"), quoted(lang).cast("string").alias("lang"), quoted(text).alias("text"))
 
