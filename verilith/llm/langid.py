@@ -1,9 +1,10 @@
 """Language identification by compression.
 
 For each language a Zstandard dictionary is made of raw text: labelled
-documents in the order of a hash of their id, up to a bounded size.  A text
+documents in the order of a hash of id and text, up to a bounded size.  A text
 is compressed whole (lower case, all but letters as spaces) with each
-dictionary and gets the language whose result is the smallest.  Where the next one is hardly larger, it is rejected.
+dictionary and gets the language whose result is the smallest.  Where the next
+one is hardly larger, it is rejected.
 
 What a dictionary saves at the start of a text levels off, as the text itself
 becomes the better dictionary.  So the text is compressed in blocks of fixed
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilith.llm.common import fresh, quoted
+from verilith.llm.common import cut, fresh, quoted
 
 #: The sample of labelled rows of each language: so many rows at most, of which so many bytes at most make the dictionary.
 SAMPLE_ROWS = 200
@@ -38,14 +39,39 @@ MARGIN_BYTES = 1
 def dictionaries(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Raw dictionary content of each language that ``labelled`` has.
 
-    Rows without language or with an empty text aren't used.  The rows with
-    the least hash of their id are taken, ``rows`` of each language, whichever
-    partition they lie in; of them the first ``size`` bytes.
+    Rows without language or with an empty text aren't used; rows with the
+    same id and text are one.  The rows with the least hash of id and text are
+    taken, ``rows`` of each language at most, whichever partition they lie in;
+    of them the first ``size`` bytes.  An empty table gives no dictionary.
+
+    Texts are moved of few rows only: a first pass counts each language's rows
+    by the leading zeros of the hash, which gives a bound below which about
+    twice ``rows`` lie, and just these come together, cut to ``size``.
     """
-    some = labelled.where(quoted(lang).isNotNull() & (F.length(quoted(text)) > 0)).select(quoted(lang).cast("string").alias("lang"), F.xxhash64(quoted(doc_id)).alias("h"), quoted(text).alias("text"))
-    first = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows)
-    each = first.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", F.substring("text", 1, size).alias("t")))).alias("all"))
-    return {r["lang"]: b" ".join(words_of(x["t"]) for x in r["all"])[:size] for r in each.orderBy("lang").collect()}
+    value = quoted(text)
+    some = labelled.where(quoted(lang).isNotNull() & (F.length(value) > 0)).select(quoted(lang).cast("string").alias("lang"), F.xxhash64(quoted(doc_id), value).alias("h"), value.alias("text"))
+    level = 64 - F.length(F.regexp_replace(F.bin("h"), "^0+", ""))  # 64-bit numbers of so many leading zeros; negative ones have none
+    counts: dict[str, dict[int, int]] = {}
+    for r in some.groupBy("lang", level.alias("level")).agg(F.approx_count_distinct("h").alias("n")).collect():  # 65 rows a language at most
+        counts.setdefault(r["lang"], {})[r["level"]] = r["n"]
+    bound = F.lit(0)
+    for name, by_level in counts.items():
+        total, least = 0, 0
+        for k in range(64, -1, -1):
+            total += by_level.get(k, 0)
+            if total >= 2 * rows:
+                least = k
+                break
+        bound = F.when(F.col("lang") == name, least).otherwise(bound)
+    few = some.where(level >= bound).groupBy("lang", "h").agg(F.min(F.substring("text", 1, size)).alias("t"))
+    few = few.withColumn("n", F.octet_length("t"))
+    order = Window.partitionBy("lang").orderBy("h", "t")  # about four times ``rows`` at most
+    few = few.withColumn("k", F.row_number().over(order)).withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    used = cut(few.where((F.col("k") <= rows) & (F.coalesce("before", F.lit(0)) < 4 * size)).select("lang", "k", "t"))  # words_of may shorten texts
+    out: dict[str, list[bytes]] = {}
+    for r in used.orderBy("lang", "k").collect():
+        out.setdefault(r["lang"], []).append(words_of(r["t"]))
+    return {name: b" ".join(parts)[:size] for name, parts in out.items()}
 
 
 def words_of(text: str) -> bytes:
@@ -76,9 +102,11 @@ def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text", out
     with a margin (bytes that the next language takes more, as a share of the
     smallest result) that is too narrow.  With one dictionary all texts but
     null ones get its language; with none all are rejected.  Of equal results
-    the first in alphabetical order counts, with margin 0.  Texts are
-    compressed whole, in blocks; rows are independent of each other.  Columns of
-    these names are replaced.
+    the first in alphabetical order would count, with margin 0, which is too
+    narrow unless both ``margin`` and ``margin_bytes`` are 0: by default ties
+    are rejected.  Texts are compressed whole, in blocks, whatever their
+    length; rows are independent of each other, so repeated rows get the same;
+    an empty table gives an empty one.  Columns of these names are replaced.
     """
     names = sorted(content)
     result, share = output, fresh([c for c in docs.columns if c != f"{output}_margin"], f"{output}_margin")
