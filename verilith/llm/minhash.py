@@ -11,8 +11,12 @@ agree, corrected for those that agree by chance:
 Documents of equal minima are one node from the start, so exact copies never
 meet in a band.  In each bucket the connected components at the threshold are
 found over all its pairs, by a search that compares what was reached with what
-was not yet; so a bucket of n near copies costs about n comparisons and gives
-n - 1 edges, and no bucket is capped.  Components of all edges are the groups.
+was not yet.  A bucket of n near copies costs about n comparisons and gives
+n - 1 edges; one of n texts that just share a passage costs n**2 / 2.  No
+bucket is capped: one of more than BLOCK nodes is split in blocks, and every
+two blocks are a task's bucket of their own, so all its pairs are still
+compared, in many tasks of bounded memory.  Components of all edges are the
+groups.
 
 Nodes are 64-bit digests of the minima: of n different texts about n**2 / 2**65
 pairs are taken for one by chance.
@@ -25,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verilith.llm.common import BROADCAST_ROWS, cut, fresh, quoted, text_hash
+from verilith.llm.common import BROADCAST_ROWS, cut, fresh, one_of_each, quoted, text_hash
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS = PERMUTATIONS // ROWS
 THRESHOLD = 0.55
 BLOCK_CHARS = 400_000
+#: Nodes of a bucket that are compared in one task.
+BLOCK = 1 << 13
 
 _U = np.uint64
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
@@ -215,7 +221,7 @@ def joined(nodes: np.ndarray, packed: np.ndarray, threshold: float) -> tuple[np.
 
 
 def edges_of(buckets: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Edges of buckets that come sorted by band, each whole within the iterator."""
+    """Edges of buckets (band, node, packed) that come sorted by band, each whole within the iterator."""
 
     def out(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*a, np.zeros(0, np.int64)])), pa.array(np.concatenate([*b, np.zeros(0, np.int64)]))], names=["a", "b"])
@@ -259,12 +265,15 @@ def components(edges: DataFrame) -> DataFrame:
     def summary(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    by_a = Window.partitionBy("a")
+    def least(e: DataFrame) -> DataFrame:
+        """``e`` with m, the least of a's neighbours and a; a hot a is summed up before it is moved, and its rows can be split in the join."""
+        return e.join(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a")
+
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = summary(edges)
     while before[0]:
-        large = both(edges).withColumn("m", F.least(F.min("b").over(by_a), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.withColumn("m", F.min("b").over(by_a))
+        large = cut(least(both(edges)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        small = least(large)
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b")))
         edges = cut(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         after = summary(edges)
@@ -274,15 +283,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("least"))
 
 
+def bucketed(members: DataFrame, block: int | None = None) -> DataFrame:
+    """(_bucket, _node, _packed) of members (_band, _n, _node, _packed): bands of more than ``block`` (by default BLOCK) nodes give a bucket for every two of their blocks."""
+    block = block or BLOCK
+    blocks = F.ceil(F.col("_n") / block)
+    own = F.pmod(F.xxhash64("_node"), blocks)
+    small = members.where(F.col("_n") <= block).select(F.col("_band").alias("_bucket"), "_node", "_packed")
+    large = members.where(F.col("_n") > block).select("_band", "_node", "_packed", own.alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("_other")).where("_own <> _other")
+    return small.union(large.select(F.xxhash64("_band", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("_bucket"), "_node", "_packed"))
+
+
 def groups(docs: DataFrame, text: str, others: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs whose text isn't null: ``others`` as _0, _1 ..., _hash and _group."""
     rows = cut(signed(docs, text, others).where("_node is not null"))
     nodes = rows.where("_bands is not null").groupBy("_node").agg(F.first("_packed").alias("_packed"), F.first("_bands").alias("_bands"))
     banded = nodes.select(F.explode("_bands").alias("_band"), "_node")
-    shared = banded.withColumn("_n", F.count("*").over(Window.partitionBy("_band"))).where("_n > 1").select("_band", "_node")
-    buckets = shared.join(nodes.select("_node", "_packed"), "_node").select("_band", "_node", "_packed")
+    shared = cut(banded.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1"))
+    members = banded.join(shared, "_band").join(nodes.select("_node", "_packed"), "_node").select("_band", "_n", "_node", "_packed")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = buckets.repartition(spread, "_band").sortWithinPartitions("_band").mapInArrow(lambda batches: edges_of(batches, threshold), "a bigint, b bigint")
+    buckets = bucketed(members).repartition(spread, "_bucket").sortWithinPartitions("_bucket")
+    edges = buckets.mapInArrow(lambda batches: edges_of(batches, threshold), "a bigint, b bigint")
     least = components(edges).withColumnRenamed("node", "_node")
     return rows.drop("_packed", "_bands").join(least, "_node", "left").withColumn("_group", F.coalesce("least", "_node")).drop("least", "_node")
 
@@ -297,9 +317,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A group's document with the least id stays (null ids last); the others are
     listed with its id.  Rows with the id and text of the one that stays are
-    listed too, once for each further row.  Null texts are in no group; empty
-    texts and texts without words are grouped with exact copies only.  Texts
-    are taken whole.  An empty table gives an empty one.  Other columns are
+    listed too, once for each further row.  Of equal ids with different texts
+    the one with the least hash of the text stays.  Null texts are in no group;
+    empty texts and texts without words are grouped with exact copies only.
+    Texts are taken whole, whatever their length.  An empty table gives an empty one.  Other columns are
     ignored.
     """
     found = cut(groups(docs, text, [doc_id], threshold))
@@ -332,7 +353,5 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     once = left.where(quoted(state).isNull()).drop(state)
     if decided.where(quoted(state) == 1).isEmpty():
         return once
-    first = fresh(docs.columns, "_first")
-    order = Window.partitionBy(quoted(doc_id), text_hash(quoted(text))).orderBy(*[quoted(f.name) for f in docs.schema.fields if f.dataType.typeName() != "map"])
-    again = left.where(quoted(state) == 1).drop(state).withColumn(first, F.row_number().over(order)).where(quoted(first) == 1).drop(first)
-    return once.union(again)
+    again = left.where(quoted(state) == 1).drop(state)
+    return once.union(one_of_each(again, [quoted(doc_id), text_hash(quoted(text))]))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilith.llm.common import BROADCAST_ROWS, cut, fresh, quoted, text_hash
+from verilith.llm.common import BROADCAST_ROWS, cut, fresh, one_of_each, quoted, text_hash
 
 BUCKETS = 4096
 
@@ -106,9 +106,11 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 
     Rows with the same id, text and source are one document of as many times
     the size.  Null sources are a source of their own.  Documents whose text
-    is null have no size and are never taken; empty texts have size 1.  If no
-    source has a weight the mixture is empty, as it is of an empty table.
-    Other columns are ignored.
+    is null have no size and are never taken; empty texts have size 1; texts
+    may be of any length.  Equal ranks are taken in the order of doc_id (null
+    ids last) and text hash; equal remainders of sources in that of their names
+    (a null one last).  If no source has a weight the mixture is empty, as it
+    is of an empty table.  Other columns are ignored.
     """
     return copies(docs, **options).select("doc_id", "source", "copies")
 
@@ -126,8 +128,6 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     both = docs.where(quoted(text).isNotNull()).join(side, on).drop(i, h, s)
     kept = both.where(quoted(n) == 1)
     if not decided.where(quoted(n) > 1).isEmpty():
-        r = fresh(docs.columns, "_r")
-        order = Window.partitionBy(quoted(doc_id), text_hash(quoted(text)), quoted(source)).orderBy(*[quoted(f.name) for f in docs.schema.fields if f.dataType.typeName() != "map"])
-        kept = kept.union(both.where(quoted(n) > 1).withColumn(r, F.row_number().over(order)).where(quoted(r) == 1).drop(r))
+        kept = kept.union(one_of_each(both.where(quoted(n) > 1), [quoted(doc_id), text_hash(quoted(text)), quoted(source)]))
     k = fresh([*docs.columns, n, c], "_k")
     return kept.withColumn(k, F.explode(F.sequence(F.lit(1), quoted(c).cast("int")))).drop(n, c, k)
