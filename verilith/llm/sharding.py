@@ -15,9 +15,11 @@ to the room that is left.  Documents without links come last, where room is.
 
 In each round those that another shard would suit better ask to move there.
 Between two shards as many may move as want to move the other way, and more
-while there is room below the quota; those who gain most go first.  At last
-shards that are above the even size hand their least linked documents to those
-below, group by group, so sizes differ by one at most.
+while there is room below the quota; those who gain most (to within a
+hundredth) go first.  At last shards that are above the even size hand their
+least linked documents to those below, group by group, so sizes differ by one
+at most.  Who goes first is found by counting rows in buckets; just the bucket
+that a quota cuts is sorted, never a shard.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ PART = 4096
 WHOLE = 1_000_000
 #: So many groups at most, the largest, are placed one by one on the driver.
 PLACED = 4096
+#: Buckets of hashes in which rows are counted, and rows that are numbered in one task, about.
+BUCKETS, NUMBERED = 4096, 1 << 16
 
 
 def nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -130,6 +134,43 @@ def quotas(demand: dict[tuple[int, int], int], sizes: list[int], limit: int) ->
     return {pair: n for pair, n in out.items() if n}
 
 
+def bucket(of: str) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(9)), F.lit(BUCKETS))
+
+
+def first_of(rows: DataFrame, group: str, quota: str, levels: list[Column], order: list[Column]) -> DataFrame:
+    """Of each ``group`` (there are few) the first ``quota`` rows by the levels (whole numbers), then ``order``.
+
+    Rows are counted by the first level; of the number that the quota cuts by
+    the next one, and so on.  ``rows`` are read several times.
+    """
+    rest = rows.where(F.col(quota) > 0).select("*", F.col(quota).alias("_room"), *[x.alias(f"_l{k}") for k, x in enumerate(levels)])
+    sure = []
+    for k in range(len(levels)):
+        level = F.col(f"_l{k}")
+        so_far = Window.partitionBy(group).orderBy("l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        counts = rest.groupBy(group, level.alias("l")).agg(F.count("*").alias("n"), F.max("_room").alias("q")).withColumn("to", F.sum("n").over(so_far))
+        edge = cut(counts.where("to - n < q and to > q").select(group, F.col("l").alias("_edge"), (F.col("q") - F.col("to") + F.col("n")).alias("_left"), "q"))  # a row a group at most
+        whole = cut(counts.where("to <= q").groupBy(group).agg(F.max("l").alias("_last")))
+        both = rest.join(F.broadcast(edge.drop("q")), group, "left").join(F.broadcast(whole), group, "left")
+        sure.append(both.where(level <= F.col("_last")).select(rows.columns))
+        rest = both.where(level == F.col("_edge")).drop("_room", "_edge", "_last").withColumnRenamed("_left", "_room")
+    last = Window.partitionBy(group).orderBy(*[f"_l{k}" for k in range(len(levels))], *order)
+    out = rest.withColumn("_k", F.row_number().over(last)).where("_k <= _room").select(rows.columns)
+    for x in sure:
+        out = out.union(x)
+    return out
+
+
+def numbered(rows: DataFrame, total: int, by: str, then: str) -> DataFrame:
+    """``rows`` with ``r`` from 0 on, in an order that keeps equal ``by`` near each other; prefix sums over counts of buckets."""
+    many = max(1, total // NUMBERED)
+    placed = rows.withColumn("_b", F.pmod(F.xxhash64(by), F.lit(many)) * 64 + F.pmod(F.xxhash64(then), F.lit(64)))
+    sums = placed.groupBy("_b").agg(F.count("*").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_base")  # 64 rows for NUMBERED
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(by, then)) - 1
+    return placed.withColumn("_own", own).join(sums, "_b").withColumn("r", F.col("_base") + F.col("_own")).drop("_b", "_own", "_base")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, doc_id, hash, shard), one row for each different pair of id and text."""
     spark = docs.sparkSession
@@ -156,7 +197,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, doc_id:
         if not allowed:
             break
         table = F.broadcast(spark.createDataFrame([(a, b, q) for (a, b), q in allowed.items()], "shard int, to int, quota bigint"))  # shards x shards rows
-        moved = asking.join(table, ["shard", "to"]).withColumn("k", F.row_number().over(Window.partitionBy("shard", "to").orderBy(F.desc("gain"), "node"))).where("k <= quota").select("node", "to")
+        asked = asking.join(table, ["shard", "to"]).withColumn("way", F.col("shard") * shards + F.col("to"))
+        moved = first_of(asked, "way", "quota", [-F.floor(F.log2("gain") * 64), bucket("node")], [F.desc("gain"), F.col("node")]).select("node", "to")
         labels = cut(labels.join(moved, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"), "seed"))
     alone = every.join(labels, "node", "left_anti").withColumn("seed", F.col("node"))
     labels = cut(labels.union(alone.select("node", by_room(sizes(labels), total).alias("shard"), "seed")))
@@ -174,19 +216,18 @@ def evened(labels: DataFrame, member: DataFrame, sizes: list[int]) -> DataFrame:
     over = [(s, sizes[s] - goal[s]) for s in range(n) if sizes[s] > goal[s]]
     if not over:
         return labels.select("node", "shard")
-    surplus, first, at = [], [], 0
-    for s, q in over:
-        surplus.append((s, q, at))
-        at += q
-    at = 0
+    first, at = [], 0
     for s in range(n):
         if goal[s] > sizes[s]:
             first.append((at, at + goal[s] - sizes[s], s))
             at += goal[s] - sizes[s]
     ties = wishes(member, labels).select("node", "own")
-    table = F.broadcast(spark.createDataFrame(surplus, "shard int, q bigint, base bigint"))
+    table = F.broadcast(spark.createDataFrame(over, "shard int, q bigint"))
     into = F.broadcast(spark.createDataFrame(first, "low bigint, high bigint, to int"))
-    ranked = labels.join(table, "shard").join(ties, "node", "left").withColumn("k", F.row_number().over(Window.partitionBy("shard").orderBy(F.coalesce("own", F.lit(0)), "seed", "node")) - 1).where("k < q").select("node", (F.col("base") + F.col("k")).alias("r"))
+    able = cut(labels.join(table, "shard").join(ties, "node", "left").withColumn("own", F.coalesce("own", F.lit(0))))
+    strength = F.when(F.col("own") > 0, F.floor(F.log2("own") * 8) + 1).otherwise(0).cast("bigint")
+    out = first_of(able, "shard", "q", [strength, bucket("seed"), bucket("node")], [F.col("seed"), F.col("node")])
+    ranked = numbered(cut(out.select("node", "seed")), sum(q for _, q in over), "seed", "node")
     moved = ranked.join(into, (F.col("r") >= F.col("low")) & (F.col("r") < F.col("high"))).select("node", "to")
     return labels.join(moved, "node", "left").select("node", F.coalesce("to", "shard").cast("int").alias("shard"))
 
@@ -196,9 +237,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
 
     Sizes, in different documents, differ by one at most.  Rows with the same
     id and text are one document and have one row.  Documents with null or
-    empty texts, and lines of white space, have no links.  Texts are taken
-    whole; an empty table gives an empty one; with one shard all lie in it.
-    Other columns are ignored.
+    empty texts, and lines of white space, have no links.  Of shards that suit
+    a document equally its own counts, then the least number; documents that
+    gain equally move in the order of a hash, so the result follows from the
+    rows alone.  Texts are taken whole, whatever their length; an empty table
+    gives an empty one; with one shard all lie in it.  Other columns are
+    ignored.
     """
     if shards < 1:
         raise ValueError("there is at least one shard")
