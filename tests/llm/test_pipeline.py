@@ -2,12 +2,14 @@ import random
 import shutil
 
 import corpus_pipeline
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
-from verilith.llm import langid, minhash, tokenfiles
+from verilith.llm import langid, minhash, queries, tokenfiles
 from verilith.llm.common import VOCABULARY
 
-from .test_text_operators import brute_lines, edited, frame, rows_of, spoken
+from .test_text_operators import AWKWARD, brute_lines, edited, frame, jaccard, rows_of, spoken
 
 
 def test_stages_against_brute_force(spark, tmp_path):
@@ -32,9 +34,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {r.doc_id for r in first.collect()} == kept and set(known) == {"en", "de", "es"}
     want = brute_lines([(r.doc_id, r.text) for r in first.collect()])
     assert rows_of(after["line dedup"], "doc_id", "text", "n_chars") == sorted(((i, t, len(t)) for (i, _), t in want.items() if t), key=repr)
-    gone = {r.doc_id for r in minhash.near_duplicates(after["line dedup"]).collect()}
-    assert {r.doc_id for r in after["near duplicates"].collect()} == {r.doc_id for r in after["line dedup"].collect()} - gone
-    assert after["mixing"].count() == after["near duplicates"].count()
+    texts = {r.doc_id: r.text for r in after["line dedup"].collect()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and jaccard(texts[a], texts[b]) >= minhash.THRESHOLD:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r.doc_id for r in after["near duplicates"].collect()} == {i for i in texts if find(i) == i} and any(find(i) != i for i in texts)
+    mixture = duckdb.connect()
+    mixture.register("documents", after["near duplicates"].toPandas())
+    want = sorted((i, s) for i, s, n in mixture.sql(queries.ORACLES["op2_mixing"]).select("doc_id, source, copies").fetchall() for _ in range(n))
+    assert sorted((r.doc_id, r.source) for r in after["mixing"].collect()) == want
     for r in before.join(docs.dropDuplicates(["doc_id"]).select("doc_id", "token_ids"), "doc_id").collect():
         assert r.token_ids == tokenfiles.encoding(VOCABULARY).encode_ordinary(r.text)
     whole = corpus_pipeline.run(spark, str(tmp_path))
@@ -42,6 +58,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     shutil.rmtree(tmp_path)
 
 
+@pytest.mark.parametrize("rows", [0, 14])
+def test_awkward_tables(spark, tmp_path, rows):
+    """The awkward rows with columns of clashing names, and an empty table."""
+    docs = frame(spark, AWKWARD).limit(rows).withColumn("removed_lines", F.lit(1)).withColumn("removed", F.lit("x")).withColumn("_found", F.lit(2))
+    assert "language" in docs.columns and "language_margin" in docs.columns
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, out = out, stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns
+        assert out.where("removed_lines <> 1 or removed <> 'x' or language <> 'old'").count() == 0
+        assert out.count() <= before.count()
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    assert final.columns == ["doc_id", "lang", "source", "n_chars", "token_ids"]
+    assert final.count() == out.count() and (final.count() > 0) == (rows > 0)
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

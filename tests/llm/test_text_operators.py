@@ -6,8 +6,10 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from verilith.llm import bpe, langid, linededup, minhash, mixing, quality, sharding, tokencounts, tokenfiles
@@ -253,6 +255,17 @@ def test_mixture_is_exact(spark):
         assert math.floor(222 * s / sum(size.values())) <= copies.get(i, 0) <= math.ceil(222 * s / sum(size.values()))
 
 
+def test_ties_in_the_mixture(spark):
+    """Rows of one rank are taken in the order of ids, null ids last; shares with equal remainders go by name."""
+    ranked = spark.createDataFrame([("s", 0.5, 3, i) for i in (5, 1, None, 4, 2)], "source string, rank double, q bigint, doc_id bigint")
+    got = mixing.lowest(ranked, "source", "rank", "q", [F.asc_nulls_last("doc_id")])
+    assert rows_of(got, "doc_id") == [(1,), (2,), (4,)]
+    units = spark.createDataFrame([(s, 10, 1, 4) for s in ("b", "a", None)], "source string, chars bigint, size bigint, n bigint")
+    assert rows_of(mixing.source_shares(units, 4, None), "source", "share") == sorted([("a", 2), ("b", 1), (None, 1)], key=repr)
+    long = spark.createDataFrame([(1, "x" * 3_000_000, "s"), (2, "y", "s")], "doc_id bigint, text string, source string")
+    assert mixing.mix_counts(long, total=40).agg(F.sum("copies")).first()[0] == 40
+
+
 def test_mixing_of_awkward_rows(spark):
     docs = frame(spark, AWKWARD)
     out = mixing.mix_sources(docs)
@@ -281,6 +294,34 @@ def test_languages_of_held_out_texts(spark):
     assert set(out.columns) == set(docs.columns)  # columns of these names are replaced
 
 
+def test_sizes_are_those_of_direct_compression(spark):
+    """Each text against zstandard itself: every block with every dictionary, the least sum of sizes, and margins; ties are rejected."""
+    docs = frame(spark, [(k, spoken(lang, k * 7 + j, 5 + k * 60), lang, "s") for k in range(12) for j, lang in enumerate(WORDS)] + [(99, spoken("en", 5), "en", "s")])
+    known = langid.dictionaries(docs)
+    out = {r.doc_id * 10 + "ed".find(r.lang[0]): r for r in langid.identify(docs, known).select("doc_id", "lang", "text", "language", "language_margin").collect()}
+    for r in out.values():
+        raw = " ".join(re.findall(r"[^\W\d_]+", r.text.lower())).encode()
+        total = {}
+        for lang, content in known.items():
+            total[lang] = 0
+            for k in range(0, len(raw), langid.BLOCK_BYTES):
+                own = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0))
+                total[lang] += len(own.compress(raw[k : k + langid.BLOCK_BYTES]))
+        (best, lang), (second, _) = sorted((n, x) for x, n in total.items())[:2]
+        assert r.language_margin == (second - best) / best
+        assert r.language == (lang if (second - best) / best >= langid.MARGIN and second - best >= langid.MARGIN_BYTES else None)
+    same = {"a": known["en"], "b": known["en"]}
+    assert langid.identify(docs, same).where("language is not null").count() == 0
+    assert langid.identify(docs, same, margin=0.0, margin_bytes=0).where("language = 'a'").count() == docs.count()
+
+
+def test_dictionaries_are_bounded(spark):
+    rows = [(k, f"text {k} " + "x" * (k % 50), "en", "s") for k in range(3000)] + [(7, "copy", "en", "s")] * 1500
+    known = langid.dictionaries(frame(spark, rows), rows=20, size=300)
+    assert set(known) == {"en"} and 100 < len(known["en"]) <= 300
+    assert known == langid.dictionaries(frame(spark, rows[::-1]).repartition(7), rows=20, size=300)
+
+
 def test_long_texts_keep_their_language(spark):
     docs = frame(spark, [(k, spoken(lang, k * 7 + j), lang, "s") for k in range(30) for j, lang in enumerate(WORDS)])
     known = langid.dictionaries(docs)
@@ -341,6 +382,25 @@ def test_quality_of_awkward_rows(spark):
     assert unknown.where("class_distance is not null or word_distance is not null").count() == 0
 
 
+def test_summaries_keep_every_common_word(spark):
+    """Words spread over tasks so that none is common in all; a task of few words; the result against plain counts."""
+    rng = random.Random(11)
+    rows = [(k, " ".join(rng.choice("the of and to".split()) if rng.random() < 0.1 else "".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(120)), "en", "s") for k in range(80)] + [(500, "alone here", "de", "s")]
+    known = quality.references(frame(spark, rows).repartition(9))
+    words = [w for _, t, lang, _ in rows if lang == "en" for w in t.split()]
+    common = sorted(words.count(w) for w in set(words) if words.count(w) * quality.COMMON >= len(words))
+    assert sorted(known["en"][2][:-1].tolist()) == common and known["en"][2].sum() == len(words)
+    assert sorted(known["de"][2].tolist()) == [0, 1, 1]
+    keys, n = quality.summary(np.arange(50), np.arange(50), 10)
+    assert len(keys) <= 10 and all(0 <= k - v <= np.arange(50).sum() / 11 for k, v in zip(keys, n))
+
+
+def test_slices_are_bounded_by_characters():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 400, None, "y" * 700, "", "z" * 2500, "w"])], names=["text"])
+    got = [b.column("text").to_pylist() for b in quality.slices(iter([batch]), 1000)]
+    assert [len(g) for g in got] == [2, 2, 1, 1] and sum(got, []) == batch.column("text").to_pylist()
+
+
 # -- tokens -------------------------------------------------------------------------------
 
 
@@ -395,6 +455,45 @@ def test_token_files_round_trip(spark, tmp_path):
     assert tokenfiles.write_tokens(docs.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_hold_the_library_s_ids(spark, tmp_path):
+    """The files' raw bytes against ids of the public library, read without this module."""
+    docs = frame(spark, AWKWARD).repartition(3)
+    rows = tokenfiles.write_tokens(docs, str(tmp_path)).collect()
+    text_of_ = {(r.doc_id, r.text) for r in docs.collect()}
+    held = []
+    for part in {r.part for r in rows}:
+        ids = np.fromfile(tmp_path / f"{part:06d}.tokens", "<u2")
+        offsets = np.fromfile(tmp_path / f"{part:06d}.offsets", "<u8")
+        assert len(ids) == offsets[-1] - offsets[0]
+        held += [(r.doc_id, ids[int(offsets[r.document] - offsets[0]) : int(offsets[r.document + 1] - offsets[0])].tolist()) for r in rows if r.part == part]
+    want = [(i, [] if not t else encoder().encode_ordinary(t)) for i, t in text_of_]
+    assert sorted({repr(x) for x in held}) == sorted({repr(x) for x in want})
+
+
+def test_long_runs_are_encoded_in_linear_time(spark, tmp_path):
+    """Runs that overflow the library's stack, and long pieces of every kind."""
+    texts = [" " * 5_000_000 + "a", "\n" * 300_000, "x" * 300_000, "中文" * 60_000, "-=" * 100_000, "7" * 200_000]
+    own = bpe.vocabulary()
+    began = time.time()
+    for text, ids in zip(texts, own.encode(texts)):
+        ids = np.frombuffer(ids, own.dtype)
+        assert own.decode(ids) == text.encode()
+        if not text.startswith(" "):
+            assert ids.tolist() == encoder().encode_ordinary(text)
+    assert time.time() - began < 90
+    rows = tokenfiles.write_tokens(spark.createDataFrame(list(enumerate(texts[:2])), "doc_id bigint, text string"), str(tmp_path)).collect()
+    files = tokenfiles.TokenFiles(str(tmp_path))
+    assert {r.doc_id: own.decode(files.tokens(r.part, r.document)).decode() for r in rows} == dict(enumerate(texts[:2]))
+
+
+def test_unknown_ids_are_an_error(spark):
+    size = bpe.vocabulary().size
+    for bad in ([-1], [size], [1, None]):
+        with pytest.raises(Exception, match="an id that the vocabulary lacks|a null among the ids"):
+            bpe.decode_tokens(spark.createDataFrame([(bad,)], "token_ids array<int>")).collect()
+    assert [r.decoded for r in bpe.decode_tokens(spark.createDataFrame([([],), (None,)], "token_ids array<int>")).collect()] == ["", None]
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_token_counts_against_brute_force(spark, rule):
     rows = [(k, f"{k}", t) for k, t in enumerate(["ab\n\ncd\n", "", "\n\n\n\n", "x y\nzz é😀\n", "a\n\n\n\n  b"])] + [(9, None, "only"), (10, "only", None), (11, None, None)]
