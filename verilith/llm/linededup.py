@@ -13,7 +13,7 @@ signs that end them don't count).  Three short clauses are often alike by
 chance, so a window of clauses counts from LEAST characters on, or where each of the
 three ends a line.
 
-Windows are compared by 128 bits of hash.  First just half of it is moved, to
+Windows are compared by 96 bits of hash.  First just 64 of them are moved, to
 find what is repeated at all; positions are moved once, to that.  Hot windows
 are reduced before the join, never sorted in one task.
 """
@@ -111,7 +111,7 @@ def clause_windows(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def windows(docs: DataFrame, doc_id: str, text: str, size: int, units: str) -> DataFrame:
-    """(w1, w2, at): each window's hash and place, struct(null id, id, text hash, position)."""
+    """(i, h, p, w1, w2): of each window the id and text hash of its document, its position, and two hashes."""
     rows = docs.where(quoted(text).isNotNull()).select(quoted(doc_id).alias("i"), text_hash(quoted(text)).alias("h"), quoted(text).alias("text"))
     if units == "lines":
 
@@ -124,7 +124,7 @@ def windows(docs: DataFrame, doc_id: str, text: str, size: int, units: str) -> D
 
         hashed = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
         once = F.transform(F.array(F.struct(hashed.alias("l"))), of)[0]  # so that a text is cut once, not for each window
-        each = rows.select("i", "h", F.explode(once).alias("w")).select("i", "h", "w.p", "w.w1", "w.w2")
+        each = rows.select("i", "h", F.explode(once).alias("w")).select("i", "h", "w.p", "w.w1", (F.shiftrightunsigned("w.w2", 32)).cast("bigint").alias("w2"))
     else:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +134,11 @@ def windows(docs: DataFrame, doc_id: str, text: str, size: int, units: str) -> D
                 for group in blocks(values):
                     row, p, w = clause_windows(group, size)
                     here = batch.slice(low, len(group)).select([0, 1]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*here.columns, pa.array(p.astype(np.int32)), pa.array(w[0]), pa.array(w[1])], names=["i", "h", "p", "w1", "w2"])
+                    yield pa.RecordBatch.from_arrays([*here.columns, pa.array(p.astype(np.int32)), pa.array(w[0]), pa.array((w[1].view(np.uint64) >> np.uint64(32)).view(np.int64))], names=["i", "h", "p", "w1", "w2"])
                     low += len(group)
 
         each = rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, h bigint, p int, w1 bigint, w2 bigint")
-    return each.select("w1", "w2", F.struct(F.col("i").isNull().alias("n"), "i", "h", "p").alias("at"))
+    return each
 
 
 def covered(docs: DataFrame, doc_id: str, text: str, size: int = WINDOW, units: str = "lines") -> DataFrame:
@@ -146,8 +146,9 @@ def covered(docs: DataFrame, doc_id: str, text: str, size: int = WINDOW, units:
     found = windows(docs, doc_id, text, size, units)
     again = found.groupBy("w1").agg(F.count("*").alias("many")).where("many > 1").select("w1")
     repeated = cut(found.join(again, "w1", "left_semi"))
-    firsts = repeated.groupBy("w1", "w2").agg(F.min("at").alias("first"))
-    later = repeated.join(firsts, ["w1", "w2"]).where("at > first").select("at.i", "at.h", "at.p")
+    placed = repeated.select("w1", "w2", F.struct(F.col("i").isNull().alias("n"), "i", "h", "p").alias("at"))
+    firsts = placed.groupBy("w1", "w2").agg(F.min("at").alias("first"))
+    later = placed.join(firsts, ["w1", "w2"]).where("at > first").select("at.i", "at.h", "at.p")
     sets = later.groupBy("i", "h").agg(F.collect_set("p").alias("p"))
     return sets.select("i", "h", F.array_distinct(F.flatten(F.transform("p", lambda x: F.sequence(x, x + size - 1)))).alias("removed"))
 
