@@ -136,6 +136,48 @@ def test_store_round_trip(spark, tmp_path):
         A.read_document(docs, "none")
 
 
+def test_null_keys_and_a_line_feed_over_a_boundary(spark):
+    schema = "container_id string, doc_seq bigint, doc_id string, text string"
+    rows = [("c", 0, "a", "a\r"), ("c", 1, "b", ""), ("c", 2, None, "\nb"), (None, 0, "n", "x\n"), (None, 1, None, None)]
+    docs = C.placed(spark.createDataFrame(rows, schema))
+    assert sorted(((r.container_id or "", r.doc_seq, r.logical_offset, r.line_count) for r in docs.collect())) == [("", 0, 0, 1), ("", 1, 2, 0), ("c", 0, 0, 1), ("c", 1, 2, 0), ("c", 2, 2, 2)]
+    info = {r.container_id: (r.original_size, r.document_count, r.line_count, r.newline_mode) for r in store.summary(docs).collect()}
+    assert info == {"c": (4, 3, 2, "crlf"), None: (2, 2, 1, "lf")}
+    lines = C.lines(docs)
+    chunks = C.chunk_plan(lines, ChunkOptions(8, 8))
+    entries = {(r.container_id, r.doc_id): (r.chunk_start, r.chunk_end) for r in C.document_index(docs, chunks, 8).collect()}
+    assert entries == {("c", "a"): (0, 1), ("c", "b"): (0, 0), ("c", None): (0, 1), (None, "n"): (0, 1), (None, None): (0, 0)}
+    with pytest.raises(Exception, match="null_doc_seq"):
+        C.placed(spark.createDataFrame([("c", None, "a", "a")], schema)).collect()
+
+
+def test_last_line_between_target_and_maximum(spark):
+    assert plan(spark, "abcdef", 3, 8) == [(0, 6, 0, 1, 0)]
+    assert plan(spark, "ab\nabcdef", 3, 8) == [(0, 3, 0, 1, 0), (3, 6, 1, 1, 0)]
+
+
+def test_planned_lines_agree_with_the_plan(spark):
+    text = "alpha\nbeta gamma delta epsilon\n\nzeta"
+    found = C.planned_lines(spark.createDataFrame([("c", text), ("n", None)], "doc_id string, text string"), ChunkOptions(8, 10)).orderBy("line_no").collect()
+    chunks = C.chunk_plan(lines_of(spark, text), ChunkOptions(8, 10)).orderBy("chunk_id").collect()
+    for r in found:
+        own = [c for c in chunks if c.logical_offset < r.logical_offset + r.byte_length and c.logical_offset + c.uncompressed_size > r.logical_offset]
+        assert (r.chunk_start, r.chunk_end, r.chunk_sizes) == (own[0].chunk_id, own[-1].chunk_id + 1, [c.uncompressed_size for c in own])
+
+
+def test_container_and_document_findings(spark, tmp_path):
+    tables = store.pack(source(spark, "alpha\n", "beta\r\n", "gamma"), ChunkOptions(8, 16))
+    store.save(tables, f"{tmp_path}/box")
+    t = store.load(spark, f"{tmp_path}/box")
+    first = lambda d, c: V.report(t.chunks, V.violations(t.chunks, d, "deep", c, 16)).first().first_error
+    assert first(t.documents, t.containers) is None
+    assert V.attest_all(t.containers, V.violations(t.chunks, t.documents, "deep", t.containers, 16)).count() == 1
+    bad = t.documents.withColumn("logical_offset", F.when(F.col("doc_id") == "d2", F.col("logical_offset") + 1).otherwise(F.col("logical_offset")))
+    assert first(bad, t.containers) == "document_out_of_bounds"
+    assert first(t.documents, t.containers.withColumn("newline_mode", F.lit("lf"))) == "newline_mode_mismatch"
+    assert V.attest_all(t.containers, V.violations(t.chunks, bad, "deep", t.containers, 16)).count() == 0
+
+
 def test_text_files(spark, tmp_path):
     for name, text in (("b.txt", "beta"), ("a.txt", "alpha\n")):
         (tmp_path / name).write_text(text)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from verilith.errors import EvidenceError
 from verilith.operators import index as I
-from verilith.options import SearchOptions
+from verilith.options import ChunkOptions, SearchOptions
 from verilith.plans import search as S
 from verilith.streaming import ingest
 
@@ -35,6 +35,28 @@ def test_stale_postings_are_verified(spark):
     assert {v.violation for v in I.violations(own).collect()} == {"frequency_mismatch"}
 
 
+def test_chunks_of_hits_and_physical_bytes(spark):
+    own = I.granules(spark.createDataFrame([(0, "alpha one\nbeta two\nalpha three\n"), (1, "alpha\n"), (None, "alpha\nx")], "doc_id bigint, text string"), options=ChunkOptions(10, 12))
+    assert own.count() == 6 and {r.granule_id for r in own.collect()} == set(range(6))
+    r = S.search(I.build(own), "alpha")
+    assert sorted((h.container_id is None, h.container_id, h.logical_offset, h.chunk_start, h.chunk_end) for h in r.hits.collect()) == [(False, 0, 0, 0, 1), (False, 0, 19, 2, 3), (False, 1, 0, 0, 1), (True, None, 0, 0, 1)]
+    assert (r.metrics["candidate_granules"], r.metrics["candidate_chunks"], r.metrics["decoded_bytes"], r.metrics["physical_decoded_bytes"]) == (4, 4, 34, 35)
+
+
+@pytest.mark.parametrize("kind", ["token", "ngram"])
+def test_terms_agree_with_those_of_postings(spark, monkeypatch, kind):
+    monkeypatch.setattr(I, "RANGE", 8)
+    own = lines(spark, "".join(f"common word{k % 7} {'rare' if k % 31 == 0 else ''}\n" for k in range(300)))
+    want = sorted(map(tuple, I.terms(I.postings(own, kind)).collect()))
+    assert sorted(map(tuple, I.terms_of(own, kind).collect())) == want
+    lists = {}
+    for r in I.postings(own, kind).collect():
+        lists.setdefault(r.key, []).append(r.granule_id)
+    for key, n, size, _ in want:
+        ids = sorted(lists[key])
+        assert n == len(ids) and size == sum(1 if d < 128 else 2 for d in [ids[0], *(b - a for a, b in zip(ids, ids[1:]))])
+
+
 def test_no_keys_and_missing_keys(spark):
     assert find(spark, "alpha one\nbeta two\n", "証拠").incomplete_reason == "query_has_no_indexable_tokens"
     assert find(spark, "中文証拠の行\n", "中文", "ngram").incomplete_reason == "query_shorter_than_ngram_n"

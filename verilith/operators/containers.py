@@ -23,11 +23,21 @@ from verilith.options import ChunkOptions
 GROUP = 1 << 16
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, of which nulls equal each other; the keys come once, from ``left``."""
+    own = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(own, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def before(df: DataFrame, parts: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
     """``df`` with, under each name, the sum of an expression over all earlier rows of its part.
 
-    Rows are grouped by ranges of ``order`` (a whole number); the groups' sums
-    are few, and within a group a window adds up.
+    Rows are grouped by ranges of ``order`` (a whole number, its own for each
+    row of a part); the groups' sums are few, and within a group a window adds
+    up.  A null part is a part like any other; nulls come first in an order.
     """
     group, base = "_group", [f"_base_{k}" for k in sums]
     with_ = df.withColumn(group, F.floor(F.col(order) / GROUP))
@@ -36,14 +46,30 @@ def before(df: DataFrame, parts: list[str], order: str, sums: dict[str, Column])
     totals = totals.select(*parts, group, *[F.coalesce(F.sum(b).over(earlier), F.lit(0)).alias(b) for b in base])
     own = Window.partitionBy(*parts, group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = with_.select("*", *[F.coalesce(F.sum(e).over(own), F.lit(0)).alias(k) for k, e in sums.items()])
-    on = [*parts, group]
-    joined = out.join(totals, on)
-    return joined.select(*df.columns, *[T.big(F.col(k) + F.col(b)).alias(k) for k, b in zip(sums, base)])
+    both = joined(out, totals, [*parts, group])
+    return both.select(*df.columns, *[T.big(F.col(k) + F.col(b)).alias(k) for k, b in zip(sums, base)])
+
+
+def carried(df: DataFrame, parts: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """``df`` with, as ``name``, the last ``value`` that isn't null of all earlier rows of its part; in two levels, as in ``before``."""
+    with_ = df.withColumn("_group", F.floor(F.col(order) / GROUP)).withColumn("_value", value)
+    last = with_.where("_value is not null").groupBy(*parts, "_group").agg(F.max_by("_value", order).alias("_last"))
+    every = joined(with_.groupBy(*parts, "_group").agg(F.count("*").alias("_n")), last, [*parts, "_group"], "left")
+    earlier = Window.partitionBy(*parts).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    base = every.select(*parts, "_group", F.last("_last", ignorenulls=True).over(earlier).alias("_base"))
+    own = Window.partitionBy(*parts, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = with_.withColumn("_own", F.last("_value", ignorenulls=True).over(own))
+    return joined(out, base, [*parts, "_group"]).select(*df.columns, F.coalesce("_own", "_base").alias(name))
 
 
 def placed(source: DataFrame) -> DataFrame:
-    """Documents with byte_length, feeds, logical_offset, first_line and line_count."""
+    """Documents with byte_length, feeds, logical_offset, first_line and line_count.
+
+    A null text is an empty one; a null container_id or doc_id is one like any
+    other; a null doc_seq has no place and is an error.
+    """
     text = F.col("text")
+    source = source.withColumn("text", F.coalesce(text, F.lit(""))).withColumn("doc_seq", F.coalesce("doc_seq", F.raise_error(F.lit("null_doc_seq")).cast("bigint")))
     rows = source.withColumn("byte_length", T.size(text)).withColumn("feeds", T.feeds(text)).withColumn("line_count", T.line_count(text))
     return before(rows, ["container_id"], "doc_seq", {"logical_offset": F.col("byte_length"), "first_line": F.col("feeds")})
 
@@ -74,6 +100,37 @@ def document_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, each).select(key, T.big(F.col("line_no")).alias("line_no"), F.col("x.at").alias("logical_offset"), F.col("x.size").alias("byte_length"), F.col("x.line").alias("line"))
 
 
+PLANNED = "array<struct<at:bigint,size:bigint,chunk_start:bigint,chunk_end:bigint,chunk_sizes:array<bigint>>>"
+
+
+def planned_lines(docs: DataFrame, options: ChunkOptions, key: str = "doc_id") -> DataFrame:
+    """``document_lines`` with each line's chunk_start, chunk_end and the sizes of these chunks, other columns kept; no shuffle."""
+    import pyarrow as pa
+
+    def plan(texts: pa.Array) -> pa.Array:
+        out = []
+        for own in texts.to_pylist():
+            if own is None:
+                out.append(None)
+                continue
+            raw = [x.encode() for x in own]
+            ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+            starts = np.r_[0, ends[:-1]] if len(raw) else ends
+            long = {int(a): x for a, x in zip(starts, raw) if len(x) > options.maximum}
+            closed = ends[[x.endswith(b"\n") for x in raw]] if raw else ends
+            stops = np.array(plan_ends(closed, int(ends[-1]), options, long) if raw else [], np.int64)
+            sizes = np.diff(np.r_[0, stops])
+            first, last = np.searchsorted(stops, starts, side="right"), np.searchsorted(stops, ends - 1, side="right") + 1
+            out.append([{"at": int(a), "size": int(e - a), "chunk_start": int(x), "chunk_end": int(y), "chunk_sizes": sizes[x:y].tolist()} for a, e, x, y in zip(starts, ends, first, last)])
+        return pa.array(out, pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64()), ("chunk_start", pa.int64()), ("chunk_end", pa.int64()), ("chunk_sizes", pa.list_(pa.int64()))])))
+
+    plan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    rest = [c for c in docs.columns if c not in (key, "text")]
+    rows = docs.select(key, *rest, T.lines(F.col("text")).alias("l")).withColumn("s", F.arrow_udf(plan, PLANNED)("l"))
+    each = rows.select(key, *rest, F.posexplode(F.arrays_zip(F.col("l").alias("line"), F.col("s").alias("s"))).alias("line_no", "x"))
+    return each.select(key, *rest, T.big(F.col("line_no")).alias("line_no"), F.col("x.s.at").alias("logical_offset"), F.col("x.s.size").alias("byte_length"), F.col("x.line").alias("line"), "x.s.chunk_start", "x.s.chunk_end", "x.s.chunk_sizes")
+
+
 def forced_end(data: bytes, start: int, maximum: int) -> int:
     """The last place up to ``maximum`` that splits neither a character nor CR LF."""
     for end in range(min(start + maximum, len(data)), start, -1):
@@ -95,6 +152,8 @@ def plan_ends(feeds: np.ndarray, total: int, options: ChunkOptions, long: dict[i
             k = int(np.searchsorted(feeds, min(start + reach, total), side="right")) - 1
             if not end and k >= 0 and feeds[k] > start:
                 end = int(feeds[k])
+        if not end and total - start <= options.maximum:
+            end = total
         if not end:
             at = max(a for a in long if a <= start)
             end = at + forced_end(long[at], start - at, options.maximum)
@@ -152,7 +211,7 @@ def overlaps(chunks: DataFrame, spans: DataFrame, step: int) -> DataFrame:
     c = c.withColumn("range", F.explode(F.sequence(F.floor(F.col("c_low") / step), F.floor((F.col("c_high") - 1) / step))))
     s = spans.where("byte_length > 0").withColumn("s_high", F.col("logical_offset") + F.col("byte_length"))
     s = s.withColumn("range", F.explode(F.sequence(F.floor(F.col("logical_offset") / step), F.floor((F.col("s_high") - 1) / step))))
-    both = s.join(c, ["container_id", "range"]).where("c_low < s_high and c_high > logical_offset")
+    both = joined(s, c, ["container_id", "range"]).where("c_low < s_high and c_high > logical_offset")
     return both.where(F.col("range") == F.floor(F.greatest("c_low", "logical_offset") / step)).drop("range", "s_high")
 
 
@@ -162,22 +221,35 @@ def document_index(docs: DataFrame, chunks: DataFrame, step: int) -> DataFrame:
     ranges = overlaps(chunks, spans, step).groupBy("container_id", "doc_id").agg(F.min("chunk_id").alias("chunk_start"), (F.max("chunk_id") + 1).alias("chunk_end"))
     entries = docs.select("container_id", "doc_id", "logical_offset", "byte_length", "first_line", "line_count", T.checksum(F.col("text")).alias("checksum"))
     zero = F.lit(0).cast("bigint")
-    return entries.join(ranges, ["container_id", "doc_id"], "left").withColumn("chunk_start", F.coalesce("chunk_start", zero)).withColumn("chunk_end", F.coalesce("chunk_end", zero))
+    return joined(entries, ranges, ["container_id", "doc_id"], "left").withColumn("chunk_start", F.coalesce("chunk_start", zero)).withColumn("chunk_end", F.coalesce("chunk_end", zero))
 
 
 def spans_index(text_lines: DataFrame, spans: DataFrame, chunks: DataFrame, step: int) -> DataFrame:
-    """Entries of given spans (container_id, doc_id, logical_offset, byte_length): where they lie, and their text."""
-    starts = text_lines.select("container_id", F.col("line_no"), F.col("logical_offset").alias("l"), F.col("byte_length").alias("n"), "line")
+    """Entries of given spans (container_id, doc_id, logical_offset, byte_length): where they lie, and their text.
+
+    A span meets just the lines it shares bytes with; how many lines end
+    before it is the number of the first of these, or, for an empty span, of
+    the line it lies in front of.
+    """
+    keys = ["container_id", "doc_id", "logical_offset", "byte_length"]
     end = F.col("logical_offset") + F.col("byte_length")
-    hit = spans.join(starts, "container_id", "left")
-    before_ = F.col("line").endswith("\n") & (F.col("l") + F.col("n") <= F.col("logical_offset"))
-    inside = F.col("line").endswith("\n") & (F.col("l") + F.col("n") > F.col("logical_offset")) & (F.col("l") + F.col("n") <= end)
-    part = F.when((F.col("l") < end) & (F.col("l") + F.col("n") > F.col("logical_offset")), F.struct("l", F.substring(F.encode("line", "utf-8"), (F.greatest(F.col("logical_offset") - F.col("l"), F.lit(0)) + 1).cast("int"), (F.least(end, F.col("l") + F.col("n")) - F.greatest("logical_offset", "l")).cast("int")).alias("b")))
-    rows = hit.groupBy("container_id", "doc_id", "logical_offset", "byte_length").agg(F.coalesce(F.sum(before_.cast("bigint")), F.lit(0)).alias("first_line"), F.coalesce(F.sum(inside.cast("bigint")), F.lit(0)).alias("feeds"), F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: F.decode(x["b"], "utf-8")), "").alias("text"))
+    as_chunks = text_lines.select("container_id", F.col("line_no").alias("chunk_id"), "logical_offset", F.col("byte_length").alias("uncompressed_size"))
+    hit = joined(overlaps(as_chunks, spans, step), text_lines.select("container_id", F.col("line_no").alias("chunk_id"), "line"), ["container_id", "chunk_id"])
+    ended = F.col("line").endswith("\n")
+    low = F.greatest("c_low", "logical_offset")
+    part = F.struct("c_low", F.substring(F.encode("line", "utf-8"), (low - F.col("c_low") + 1).cast("int"), (F.least(end, F.col("c_high")) - low).cast("int")).alias("b"))
+    full = hit.groupBy(*keys).agg(F.min("chunk_id").alias("first_line"), F.coalesce(F.sum((ended & (F.col("c_high") <= end)).cast("bigint")), F.lit(0)).alias("feeds"), F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: F.decode(x["b"], "utf-8")), "").alias("text"))
+    # an empty span lies behind all lines that end at its place or before: the line of the byte before it, if any
+    empty = spans.where("byte_length = 0").withColumn("_at", F.col("logical_offset"))
+    one = empty.where("_at > 0").withColumn("logical_offset", F.col("_at") - 1).withColumn("byte_length", F.lit(1).cast("bigint"))
+    inside = joined(overlaps(as_chunks, one, step), text_lines.select("container_id", F.col("line_no").alias("chunk_id"), "line"), ["container_id", "chunk_id"])
+    behind = inside.select("container_id", "doc_id", "_at", (F.col("chunk_id") + (ended & (F.col("c_high") <= F.col("_at"))).cast("bigint")).alias("first_line"))
+    zero = F.lit(0).cast("bigint")
+    none = joined(empty, behind, ["container_id", "doc_id", "_at"], "left").select(*keys, F.coalesce("first_line", zero).alias("first_line"), zero.alias("feeds"), F.lit("").alias("text"))
+    rows = full.union(none)
     rows = rows.withColumn("line_count", F.col("feeds") + F.when((F.col("byte_length") > 0) & ~F.col("text").endswith("\n"), 1).otherwise(0)).drop("feeds")
     ranges = overlaps(chunks, spans, step).groupBy("container_id", "doc_id").agg(F.min("chunk_id").alias("chunk_start"), (F.max("chunk_id") + 1).alias("chunk_end"))
-    zero = F.lit(0).cast("bigint")
-    return rows.join(ranges, ["container_id", "doc_id"], "left").withColumn("chunk_start", F.coalesce("chunk_start", zero)).withColumn("chunk_end", F.coalesce("chunk_end", zero))
+    return joined(rows, ranges, ["container_id", "doc_id"], "left").withColumn("chunk_start", F.coalesce("chunk_start", zero)).withColumn("chunk_end", F.coalesce("chunk_end", zero))
 
 
 def compressed(chunks_text: DataFrame, level: int = 3) -> DataFrame:

@@ -14,17 +14,25 @@ from pyspark.sql import functions as F
 
 from verilith.errors import EvidenceError
 from verilith.functions import text as T
-from verilith.operators.containers import before
-from verilith.options import HIGH_DF
+from verilith.operators.containers import before, planned_lines
+from verilith.options import HIGH_DF, ChunkOptions
 
 
-def granules(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Lines of documents that are containers of their own, numbered through in the order of ``key`` (a whole number)."""
-    from verilith.operators.containers import document_lines
+#: Granules whose postings are worked on together.
+RANGE = 1 << 14
 
-    counted = docs.select(key, F.lit(0).alias("_all"), T.line_count(F.col("text")).alias("n"))
-    first = before(counted, ["_all"], key, {"first": F.col("n")}).select(key, "first")
-    return document_lines(docs, key).join(first, key).select((F.col("first") + F.col("line_no")).alias("granule_id"), F.col(key).alias("container_id"), "line_no", "logical_offset", "byte_length", "line")
+
+def granules(docs: DataFrame, key: str = "doc_id", options: ChunkOptions = ChunkOptions()) -> DataFrame:
+    """Lines of documents that are containers of their own, numbered through in the order of ``key``.
+
+    ``key`` is a whole number, each once; a null one (one at most) comes
+    first.  chunk_start and chunk_end are the chunks of the document's plan
+    that a line lies in.  A null text has no lines.
+    """
+    counted = docs.select(key, "text", F.lit(0).alias("_all"), F.coalesce(T.line_count(F.col("text")), F.lit(0)).alias("n"))
+    numbered = before(counted, ["_all"], key, {"first": F.col("n")}).select(key, "text", "first")
+    each = planned_lines(numbered, options, key)
+    return each.select((F.col("first") + F.col("line_no")).alias("granule_id"), F.col(key).alias("container_id"), "line_no", "logical_offset", "byte_length", "line", "chunk_start", "chunk_end", "chunk_sizes")
 
 
 def postings(lines: DataFrame, kind: str = "token", n: int = 3, keys: list[str] | None = None) -> DataFrame:
@@ -35,16 +43,67 @@ def postings(lines: DataFrame, kind: str = "token", n: int = 3, keys: list[str]
     return lines.select(F.explode(found).alias("key"), "granule_id")
 
 
+def _with_sizes(parts: DataFrame) -> DataFrame:
+    """Terms from (key, range, n, size, low, high): of each range the postings, the bytes of all but the first, the first and the last."""
+    w = Window.partitionBy("key").orderBy("range")  # a row for RANGE granules
+    first = T.varuint_size(F.col("low") - F.coalesce(F.lag("high").over(w), F.lit(0)))
+    out = parts.select("key", "n", (F.col("size") + first).alias("size")).groupBy("key").agg(F.sum("n").alias("granule_frequency"), F.sum("size").alias("posting_size"))
+    return out.withColumn("skip_points", F.when(F.col("granule_frequency") >= 1024, F.expr("(granule_frequency - 1) div 128")).otherwise(0))
+
+
 def terms(posted: DataFrame) -> DataFrame:
-    """(key, granule_frequency, posting_size, skip_points) of all keys.
+    """(key, granule_frequency, posting_size, skip_points) of all keys of postings.
 
     posting_size is what a list would take as differences in seven-bit groups.
+    No window goes over all postings of a key.
     """
-    w = Window.partitionBy("key").orderBy("granule_id")
-    delta = F.col("granule_id") - F.coalesce(F.lag("granule_id").over(w), F.lit(0))
-    each = posted.select("key", T.varuint_size(delta).alias("size"))
-    out = each.groupBy("key").agg(F.count("*").alias("granule_frequency"), F.sum("size").alias("posting_size"))
-    return out.withColumn("skip_points", F.when(F.col("granule_frequency") >= 1024, F.expr("(granule_frequency - 1) div 128")).otherwise(0))
+    w = Window.partitionBy("key", "range").orderBy("granule_id")
+    ranged = posted.withColumn("range", F.floor(F.col("granule_id") / RANGE))
+    inner = ranged.select("key", "range", "granule_id", T.varuint_size(F.col("granule_id") - F.lag("granule_id").over(w)).alias("size"))
+    inner = inner.withColumn("size", F.when(F.col("granule_id") == F.min("granule_id").over(Window.partitionBy("key", "range")), 0).otherwise(F.col("size")))
+    return _with_sizes(inner.groupBy("key", "range").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("granule_id").alias("low"), F.max("granule_id").alias("high")))
+
+
+def terms_of(lines: DataFrame, kind: str = "token", n: int = 3) -> DataFrame:
+    """``terms(postings(lines, kind, n))`` without postings: lines are moved once, by ranges of granules, and each range's terms are summed up where it lies."""
+    import re
+
+    import pyarrow as pa
+
+    def keys(line: str) -> set[str]:
+        if kind == "token":
+            return {t.lower() for t in token.findall(line)}
+        return {line[k : k + n] for k in range(len(line) - n + 1)}
+
+    token = re.compile(T.TOKEN, re.ASCII)
+    names = ["key", "range", "n", "size", "low", "high"]
+
+    def rows(own: dict, at: int) -> pa.RecordBatch:
+        columns = list(zip(*own.values())) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([at] * len(own), pa.int64()), *(pa.array(columns[k], pa.int64()) for k in (0, 1, 2, 3))], names=names)
+
+    def count(batches):
+        own: dict[str, list[int]] = {}
+        at = None
+        for batch in batches:
+            for granule, line in zip(batch.column("granule_id").to_pylist(), batch.column("line").to_pylist()):
+                if granule // RANGE != at:
+                    if own:
+                        yield rows(own, at)
+                    own, at = {}, granule // RANGE
+                for key in keys(line):
+                    found = own.get(key)
+                    if found is None:
+                        own[key] = [1, 0, granule, granule]
+                    else:
+                        found[0] += 1
+                        found[1] += 1 if granule - found[3] < 128 else 2  # differences within a range have 14 bits at most
+                        found[3] = granule
+        if own:
+            yield rows(own, at)
+
+    ranged = lines.select("granule_id", "line").repartition(F.floor(F.col("granule_id") / RANGE)).sortWithinPartitions("granule_id")
+    return _with_sizes(ranged.mapInArrow(count, "key string, range bigint, n bigint, size bigint, low bigint, high bigint"))
 
 
 def index_size(all_terms: DataFrame, granule_count: int) -> DataFrame:
@@ -84,14 +143,17 @@ def build(lines: DataFrame, kind: str = "token", n: int = 3, complete: bool = Tr
     if kind not in ("token", "ngram"):
         raise EvidenceError("unsupported_index_mode", kind)
     posted = postings(lines, kind, n)
-    return Index(kind, n, complete, per_million, source_checksum(lines), lines.count(), lines, terms(posted), posted)
+    return Index(kind, n, complete, per_million, source_checksum(lines), lines.count(), lines, terms_of(lines, kind, n), posted)
 
 
 def save(index: Index, folder: str, partitions: int = 8) -> None:
-    """Write the index; postings and terms are ranged and sorted by key."""
+    """Write the index; terms and postings are sorted by key in each file, so a filter on keys reads few row groups.
+
+    Postings of a key are spread over files by ranges of granules.
+    """
     index.granules.write.mode("overwrite").parquet(f"{folder}/granules")
-    index.terms.repartitionByRange(partitions, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{folder}/terms")
-    index.postings.repartitionByRange(partitions, "key", "granule_id").sortWithinPartitions("key", "granule_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    index.terms.repartition(partitions, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{folder}/terms")
+    index.postings.repartition(partitions, F.xxhash64("key"), F.floor(F.col("granule_id") / RANGE)).sortWithinPartitions("key", "granule_id").write.mode("overwrite").parquet(f"{folder}/postings")
     spark = index.granules.sparkSession
     spark.createDataFrame([(1, index.kind, index.n, index.complete, index.per_million, index.source_checksum, index.granule_count)], "version int, kind string, n int, complete boolean, high_df_per_million int, source_checksum string, granule_count bigint").write.mode("overwrite").parquet(f"{folder}/manifest")
 

@@ -10,14 +10,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verilith.functions import text as T
+from verilith.operators.containers import before
 from verilith.operators.index import Index
 from verilith.options import SearchOptions
 
 
+#: Keys of a batch of queries that are broadcast.
+BROADCAST_KEYS = 100_000
+
+
 @dataclass
 class Report:
     hits: DataFrame
@@ -29,7 +34,7 @@ class Report:
     metrics: dict = field(default_factory=dict)
 
 
-HITS = ["container_id", "granule_id", "logical_offset", "byte_length"]
+HITS = ["container_id", "granule_id", "logical_offset", "byte_length", "chunk_start", "chunk_end"]
 
 
 def spans(kind: str, query: str, keys: list[str], line: str = "line") -> Column:
@@ -53,28 +58,26 @@ def verified(lines: DataFrame, kind: str, query: str, keys: list[str]) -> DataFr
 def within(found: DataFrame, options: SearchOptions, part: list[str] | None = None) -> DataFrame:
     """Verified lines under the byte budget and result cap, in granule order, of each ``part``.
 
-    Adds ``over`` (this line is beyond the byte budget) and ``hits_before``.
+    Adds ``over`` (this line is beyond the byte budget) and ``hits_before``:
+    prefix sums over ranges of granules, so no window holds all candidates.
     """
-    order = Window.partitionBy(*(part or [F.lit(0)])).orderBy("granule_id")
-    to_here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = found.withColumn("decoded", F.sum("byte_length").over(to_here)).withColumn("hits_before", F.coalesce(F.sum(F.size("spans")).over(earlier), F.lit(0)))
-    return rows.withColumn("over", F.col("decoded") > options.max_decoded_bytes)
+    rows = before(found, part or [], "granule_id", {"_decoded": F.col("byte_length"), "hits_before": T.big(F.size("spans"))})
+    return rows.withColumn("over", F.col("_decoded") + F.col("byte_length") > options.max_decoded_bytes).drop("_decoded")
 
 
 def hit_rows(rows: DataFrame, options: SearchOptions, extra: list[str] | None = None) -> DataFrame:
-    each = rows.where(~F.col("over")).select(*(extra or []), "container_id", "granule_id", F.col("logical_offset").alias("at"), "hits_before", F.posexplode("spans").alias("k", "s"))
+    """Hits of verified lines; chunk_start and chunk_end are those of the line."""
+    each = rows.where(~F.col("over")).select(*(extra or []), "container_id", "granule_id", F.col("logical_offset").alias("at"), "chunk_start", "chunk_end", "hits_before", F.posexplode("spans").alias("k", "s"))
     if options.max_results is not None:
         each = each.where(F.col("hits_before") + F.col("k") < options.max_results)
-    return each.select(*(extra or []), "container_id", "granule_id", (F.col("at") + F.col("s.offset")).alias("logical_offset"), F.col("s.length").alias("byte_length"))
+    return each.select(*(extra or []), "container_id", "granule_id", (F.col("at") + F.col("s.offset")).alias("logical_offset"), F.col("s.length").alias("byte_length"), "chunk_start", "chunk_end")
 
 
 def search(index: Index, query: str, options: SearchOptions = SearchOptions()) -> Report:
     """Search one index.  The terms of the query's keys come to the driver, and counts; lines don't."""
     kind, keys = index.kind, T.query_keys(query, index.kind, index.n)
-    spark = index.granules.sparkSession
-    none = index.granules.select("container_id", "granule_id", "logical_offset", "byte_length").limit(0)
-    out = Report(none, metrics={"term_lookups": len(keys), "posting_bytes_read": 0, "candidate_granules": 0, "candidate_chunks": 0, "decoded_bytes": 0, "verified_matches": 0})
+    none = index.granules.select(*HITS).limit(0)
+    out = Report(none, metrics={"term_lookups": len(keys), "posting_bytes_read": 0, "candidate_granules": 0, "candidate_chunks": 0, "decoded_bytes": 0, "physical_decoded_bytes": 0, "verified_matches": 0})
     if not keys:
         out.incomplete_reason = "query_has_no_indexable_tokens" if kind == "token" else "query_shorter_than_ngram_n"
         return out
@@ -92,22 +95,24 @@ def search(index: Index, query: str, options: SearchOptions = SearchOptions()) -
     out.selected_keys = sorted(keys, key=lambda k: known[k]["granule_frequency"]) if kind == "token" else sorted(keys, key=lambda k: (often[k], known[k]["granule_frequency"]))
     out.high_df_keys = [k for k in keys if often[k]] if kind == "ngram" else []
     out.metrics["posting_bytes_read"] = sum(map(read, keys))
-    able = candidates(index.postings, keys)
-    lines = index.granules.join(able, "granule_id", "left_semi")
-    if "chunk_start" in index.granules.columns:
-        chunked = lines.select("container_id", F.explode(F.sequence("chunk_start", F.col("chunk_end") - 1)).alias("c"))
-        out.metrics["candidate_chunks"] = chunked.distinct().count()
-    out.metrics["candidate_granules"] = able.count()
-    if out.metrics["candidate_granules"] > options.max_candidates or options.max_results == 0:
+    lines = index.granules.join(candidates(index.postings, keys), "granule_id", "left_semi")
+    chunks = F.transform(F.sequence("chunk_start", F.col("chunk_end") - 1), lambda c: F.struct(F.col("container_id").alias("k"), c.alias("c")))
+    counted = lines.select("granule_id", F.explode(chunks).alias("c")).agg(F.count_distinct("granule_id").alias("g"), F.count_distinct("c").alias("c")).first()
+    out.metrics |= {"candidate_granules": counted["g"], "candidate_chunks": counted["c"]}
+    if counted["g"] > options.max_candidates or options.max_results == 0:
         out.capped = True
         return out
     rows = within(verified(lines, kind, query, keys), options)
     reached = ~F.col("over") if options.max_results is None else ~F.col("over") & (F.col("hits_before") < options.max_results)
-    sums = rows.agg(F.coalesce(F.sum(F.when(reached, F.col("byte_length"))), F.lit(0)).alias("decoded"), F.coalesce(F.sum(F.when(reached, F.size("spans"))), F.lit(0)).alias("hits"), F.coalesce(F.max(F.col("over")), F.lit(False)).alias("over")).first()
+    each = rows.select(reached.alias("reached"), "over", "byte_length", F.size("spans").alias("hits"), "container_id", F.posexplode(F.arrays_zip(F.sequence("chunk_start", F.col("chunk_end") - 1).alias("id"), F.col("chunk_sizes").alias("size"))).alias("k", "c"))
+    # one row for each chunk of a line: the first stands for the line
+    touched = each.groupBy("container_id", "c.id").agg(F.max(F.when(F.col("reached"), F.col("c.size"))).alias("chunk"), F.sum(F.when(F.col("reached") & (F.col("k") == 0), F.col("byte_length"))).alias("decoded"), F.sum(F.when(F.col("reached") & (F.col("k") == 0), F.col("hits"))).alias("hits"), F.max("over").alias("over"))
+    zero = F.lit(0).cast("bigint")
+    sums = touched.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("chunk", "decoded", "hits")], F.coalesce(F.max("over"), F.lit(False)).alias("over")).first()
     hits = sums["hits"] if options.max_results is None else min(sums["hits"], options.max_results)
     out.hits = hit_rows(rows, options)
     out.capped = (options.max_results is not None and hits >= options.max_results) or bool(sums["over"])
-    out.metrics |= {"decoded_bytes": sums["decoded"], "verified_matches": hits}
+    out.metrics |= {"decoded_bytes": sums["decoded"], "physical_decoded_bytes": sums["chunk"], "verified_matches": hits}
     return out
 
 
@@ -125,11 +130,18 @@ def scan(lines: DataFrame, kind: str, query: str, n: int = 3) -> DataFrame:
     return hit_rows(verified(lines, kind, query, keys).where(F.size("spans") > 0).withColumn("over", F.lit(False)).withColumn("hits_before", F.lit(0)), SearchOptions())
 
 
-def search_batch(lines: DataFrame, posted: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, matches, candidate_granules) of many token queries (query_id, keys) in one plan."""
-    wanted = queries.select("query_id", F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    able = posted.join(wanted, "key").groupBy("query_id", "granule_id", "n").agg(F.count_distinct("key").alias("have")).where("have = n")
-    hits = able.join(queries, "query_id").join(lines.select("granule_id", "line"), "granule_id")
-    count = F.size(F.filter(T.tokens(F.col("line")), lambda t: F.array_contains(F.col("keys"), t)))
-    done = hits.groupBy("query_id").agg(F.count("*").alias("candidate_granules"), F.sum(T.big(count)).alias("matches"))
+def search_batch(lines: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, matches, candidate_granules) of many token queries (query_id, keys) in one plan.
+
+    Queries without a key have no candidates.  Postings are made of the
+    queries' keys only; these are broadcast where they are few.  The rarest
+    key of a query makes its candidates, which are then held against all keys.
+    """
+    wanted = queries.select(F.explode("keys").alias("key")).distinct()
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    posted = lines.select("granule_id", F.explode(T.keys_of(F.col("line"), "token")).alias("key")).join(small, "key", "left_semi")
+    often = posted.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = queries.select("query_id", F.explode("keys").alias("key")).join(often, "key", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))["key"].alias("key"))
+    able = posted.join(rarest, "key").join(queries, "query_id").join(lines.select("granule_id", T.tokens(F.col("line")).alias("w")), "granule_id").where(F.size(F.array_except("keys", "w")) == 0)
+    done = able.groupBy("query_id").agg(F.count("*").alias("candidate_granules"), F.sum(T.big(F.size(F.filter("w", lambda t: F.array_contains(F.col("keys"), t))))).alias("matches"))
     return queries.select("query_id").join(done, "query_id", "left").select("query_id", F.coalesce("candidate_granules", F.lit(0)).alias("candidate_granules"), F.coalesce("matches", F.lit(0)).alias("matches"))

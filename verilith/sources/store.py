@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verilith.errors import EvidenceError
@@ -28,9 +30,18 @@ def text_files(spark: SparkSession, path: str, container_id: str, prefix: str =
     if not bad.isEmpty():
         raise EvidenceError("invalid_utf8")
     rows = files.select(F.lit(container_id).alias("container_id"), F.concat(F.lit(prefix), F.element_at(F.split("path", "/"), -1)).alias("doc_id"), F.col("content").cast("string").alias("text"))
-    from pyspark.sql import Window
+    names = rows.select("doc_id").withColumn("doc_seq", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")).cast("bigint") - 1)  # names alone, not texts
+    return rows.join(names, "doc_id").select("container_id", "doc_id", "text", "doc_seq")
 
-    return rows.withColumn("doc_seq", F.row_number().over(Window.partitionBy("container_id").orderBy("doc_id")).cast("bigint") - 1)
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share, ``spark.checkpoint.dir``; only on one machine a temporary one will do."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise EvidenceError("no_shared_folder", "set spark.checkpoint.dir")
+        place = tempfile.mkdtemp(prefix="shared-")
+    return f"{place}/{name}-{uuid.uuid4().hex}"
 
 
 @dataclass
@@ -47,26 +58,34 @@ def pack(src: DataFrame, options: ChunkOptions = ChunkOptions(), level: int = 3,
         raise EvidenceError("duplicate_document_id")
     docs = C.placed(src)
     lines = C.lines(docs)
-    chunks = C.chunk_plan(lines, options)
+    plan = chunks = C.chunk_plan(lines, options)
     step = options.maximum
     if payload:
-        content = C.chunk_bytes(lines, chunks, step)
-        chunks = chunks.join(C.compressed(content, level), ["container_id", "chunk_id"])
-    documents = C.document_index(docs, C.chunk_plan(lines, options), step)
+        content = C.chunk_bytes(lines, plan, step)
+        chunks = C.joined(plan, C.compressed(content, level), ["container_id", "chunk_id"])
+    documents = C.document_index(docs, plan, step)
     return Tables(lines, chunks, documents, summary(docs, documents))
 
 
-def summary(docs: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row for each container.
+def summary(docs: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """One row for each container, of placed documents.
 
-    content_checksum is the checksum of the documents' checksums in order, so
-    no container's text has to come together in one place.
+    A CR that ends one document and a LF that begins the next are one CRLF.
+    content_checksum is the checksum of the checksums of groups of documents
+    (by ranges of doc_seq), each the checksum of its documents' checksums in
+    order; so neither a container's text nor its list of checksums ever has to
+    come together in one place.
     """
     text = F.col("text")
-    last = F.max(F.struct(F.when(F.col("byte_length") > 0, F.col("doc_seq")).alias("s"), text.endswith("\n").alias("lf")))
-    feeds, with_cr = F.sum("feeds"), F.sum(T.crlf(text))
-    parts = F.sort_array(F.collect_list(F.struct("doc_seq", T.checksum(text).alias("c"))))
-    return docs.groupBy("container_id").agg(F.sum("byte_length").alias("original_size"), F.count("*").alias("document_count"), (feeds + F.when((F.sum("byte_length") > 0) & ~last["lf"], 1).otherwise(0)).alias("line_count"), T.newline_mode(feeds, with_cr).alias("newline_mode"), F.sha2(F.array_join(parts["c"], ""), 256).alias("content_checksum"))
+    size = F.col("byte_length")
+    rows = C.carried(docs.select("container_id", "doc_seq", "byte_length", "feeds", T.crlf(text).alias("crlf"), text.startswith("\n").alias("starts"), F.when(size > 0, F.right(text, F.lit(1))).alias("ends"), T.checksum(text).alias("c")), ["container_id"], "doc_seq", F.col("ends"), "before")
+    both = F.col("crlf") + F.when(F.col("starts") & (F.col("before") == "\r"), 1).otherwise(0)
+    parts = F.sort_array(F.collect_list(F.struct("doc_seq", "c")))
+    group = F.floor(F.col("doc_seq") / C.GROUP)
+    some = rows.groupBy("container_id", group.alias("g")).agg(F.sum("byte_length").alias("size"), F.count("*").alias("n"), F.sum("feeds").alias("feeds"), F.sum(both).alias("crlf"), F.max(F.when(size > 0, F.struct("doc_seq", "ends"))).alias("last"), F.sha2(F.array_join(parts["c"], ""), 256).alias("c"))
+    digests = F.sort_array(F.collect_list(F.struct("g", "c")))
+    feeds, total = F.sum("feeds"), F.sum("size")
+    return some.groupBy("container_id").agg(total.alias("original_size"), F.sum("n").alias("document_count"), (feeds + F.when((total > 0) & (F.max("last")["ends"] != "\n"), 1).otherwise(0)).alias("line_count"), T.newline_mode(feeds, F.sum("crlf")).alias("newline_mode"), F.sha2(F.array_join(digests["c"], ""), 256).alias("content_checksum"))
 
 
 def save(tables: Tables, folder: str) -> None:
