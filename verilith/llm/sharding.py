@@ -144,18 +144,29 @@ def first_of(rows: DataFrame, group: str, quota: str, levels: list[Column], orde
     Rows are counted by the first level; of the number that the quota cuts by
     the next one, and so on.  ``rows`` are read several times.
     """
-    rest = rows.where(F.col(quota) > 0).select("*", F.col(quota).alias("_room"), *[x.alias(f"_l{k}") for k, x in enumerate(levels)])
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[group]
+    rest = rows.where(F.col(quota) > 0).select("*", F.col(quota).cast("bigint").alias("_room"), *[x.cast("bigint").alias(f"_l{k}") for k, x in enumerate(levels)])
     sure = []
     for k in range(len(levels)):
         level = F.col(f"_l{k}")
         so_far = Window.partitionBy(group).orderBy("l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         counts = rest.groupBy(group, level.alias("l")).agg(F.count("*").alias("n"), F.max("_room").alias("q")).withColumn("to", F.sum("n").over(so_far))
-        edge = cut(counts.where("to - n < q and to > q").select(group, F.col("l").alias("_edge"), (F.col("q") - F.col("to") + F.col("n")).alias("_left"), "q"))  # a row a group at most
-        whole = cut(counts.where("to <= q").groupBy(group).agg(F.max("l").alias("_last")))
-        both = rest.join(F.broadcast(edge.drop("q")), group, "left").join(F.broadcast(whole), group, "left")
+        cuts = counts.where("to - n < q").groupBy(group).agg(F.max(F.when(F.col("to") <= F.col("q"), F.col("l"))).alias("last"), F.min(F.when(F.col("to") > F.col("q"), F.struct("l", (F.col("q") - F.col("to") + F.col("n")).alias("left")))).alias("edge"))
+        table = [(r[group], r["last"], r["edge"] and r["edge"]["l"], r["edge"] and r["edge"]["left"]) for r in cuts.collect()]  # a row a group
+        side = F.broadcast(spark.createDataFrame(table, f"{group} {kind}, _last bigint, _edge bigint, _left bigint"))
+        both = rest.join(side, group)
         sure.append(both.where(level <= F.col("_last")).select(rows.columns))
         rest = both.where(level == F.col("_edge")).drop("_room", "_edge", "_last").withColumnRenamed("_left", "_room")
-    last = Window.partitionBy(group).orderBy(*[f"_l{k}" for k in range(len(levels))], *order)
+        if all(x[2] is None for x in table):
+            break
+    else:
+        k += 1
+    if k < len(levels):  # every quota falls between two buckets
+        out, sure = sure[0], sure[1:]
+        for x in sure:
+            out = out.union(x)
+        return out
+    last = Window.partitionBy(group).orderBy(*[f"_l{j}" for j in range(len(levels))], *order)
     out = rest.withColumn("_k", F.row_number().over(last)).where("_k <= _room").select(rows.columns)
     for x in sure:
         out = out.union(x)
