@@ -80,17 +80,24 @@ def document_violations(chunks: DataFrame, documents: DataFrame, step: int) -> D
     sizes = chunks.groupBy("container_id").agg(F.sum("uncompressed_size").alias("_total"))
     placed = joined(documents, sizes, ["container_id"], "left")
     outside = F.coalesce((F.col("logical_offset") < 0) | (F.col("byte_length") < 0) | (F.col("logical_offset") + F.col("byte_length") > F.coalesce("_total", F.lit(0))), F.lit(True))
-    hits = joined(overlaps(chunks, placed.where(~outside).select(*keys), step), decompressed(chunks).select("container_id", "chunk_id", "bytes"), ["container_id", "chunk_id"])
-    low = F.greatest("c_low", "logical_offset")
-    part = F.struct(low.alias("at"), cut_bytes(F.col("bytes"), low - F.col("c_low"), F.least(F.col("c_high"), F.col("logical_offset") + F.col("byte_length")) - low).alias("b"))
-    held = hits.groupBy("container_id", "doc_id").agg(F.min("chunk_id").alias("_low"), (F.max("chunk_id") + 1).alias("_high"), F.aggregate(F.sort_array(F.collect_list(part)), F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("_bytes"))
-    both = joined(placed, held, ["container_id", "doc_id"], "left")
-    own = F.coalesce("_bytes", F.lit(b""))
+    # each chunk is decoded once, with the list of what lies in it; entries of one chunk are checked where it lies, without moving their bytes
+    hits = overlaps(chunks, placed.where(~outside).select(*keys), step)
+    hits = hits.withColumn("_times", F.count("*").over(Window.partitionBy("container_id", "doc_id")))
+    listed = hits.groupBy("container_id", "chunk_id").agg(F.collect_list(F.struct("doc_id", "logical_offset", "byte_length", "c_low", "c_high", "_times")).alias("_in"))
+    held = decompressed(joined(chunks.select("container_id", "chunk_id", "uncompressed_size", "payload"), listed, ["container_id", "chunk_id"])).select("container_id", "chunk_id", "bytes", F.explode("_in").alias("x"))
+    low = F.greatest("x.c_low", "x.logical_offset")
+    cuts = held.select("container_id", "chunk_id", "x.doc_id", "x._times", low.alias("at"), cut_bytes(F.col("bytes"), low - F.col("x.c_low"), F.least(F.col("x.c_high"), F.col("x.logical_offset") + F.col("x.byte_length")) - low).alias("b"))
+    result = lambda c: (T.line_count(c.cast("string")).alias("_lines"), T.checksum(c).alias("_checksum"))
+    none = F.lit(b"")
+    single = cuts.where("_times = 1").select("container_id", "doc_id", F.col("chunk_id").alias("_low"), (F.col("chunk_id") + 1).alias("_high"), *result(F.coalesce("b", none)))
+    several = cuts.where("_times > 1").groupBy("container_id", "doc_id").agg(F.min("chunk_id").alias("_low"), (F.max("chunk_id") + 1).alias("_high"), F.aggregate(F.sort_array(F.collect_list(F.struct("at", "b"))), none, lambda a, x: F.concat(a, x["b"])).alias("_bytes"))
+    several = several.select("container_id", "doc_id", "_low", "_high", *result(F.coalesce("_bytes", none)))
+    both = joined(placed, single.union(several), ["container_id", "doc_id"], "left")
     rules = [
         (12, "document_out_of_bounds", outside),
         (13, "document_chunk_range_mismatch", (F.coalesce("_low", F.lit(0)) != F.col("chunk_start")) | (F.coalesce("_high", F.lit(0)) != F.col("chunk_end"))),
-        (14, "document_line_count_mismatch", T.line_count(own.cast("string")) != F.col("line_count")),
-        (15, "document_checksum_mismatch", T.checksum(own) != F.col("checksum")),
+        (14, "document_line_count_mismatch", F.coalesce("_lines", F.lit(0)) != F.col("line_count")),
+        (15, "document_checksum_mismatch", F.coalesce("_checksum", T.checksum(none)) != F.col("checksum")),
     ]
     return _listed(both, rules)
 

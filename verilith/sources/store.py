@@ -76,9 +76,8 @@ def summary(docs: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     order; so neither a container's text nor its list of checksums ever has to
     come together in one place.
     """
-    text = F.col("text")
     size = F.col("byte_length")
-    rows = C.carried(docs.select("container_id", "doc_seq", "byte_length", "feeds", T.crlf(text).alias("crlf"), text.startswith("\n").alias("starts"), F.when(size > 0, F.right(text, F.lit(1))).alias("ends"), T.checksum(text).alias("c")), ["container_id"], "doc_seq", F.col("ends"), "before")
+    rows = C.carried(docs.select("container_id", "doc_seq", "byte_length", "feeds", "crlf", F.col("starts_with_feed").alias("starts"), F.col("last_char").alias("ends"), F.col("checksum").alias("c")), ["container_id"], "doc_seq", F.col("ends"), "before")
     both = F.col("crlf") + F.when(F.col("starts") & (F.col("before") == "\r"), 1).otherwise(0)
     parts = F.sort_array(F.collect_list(F.struct("doc_seq", "c")))
     group = F.floor(F.col("doc_seq") / C.GROUP)
@@ -88,10 +87,36 @@ def summary(docs: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     return some.groupBy("container_id").agg(total.alias("original_size"), F.sum("n").alias("document_count"), (feeds + F.when((total > 0) & (F.max("last")["ends"] != "\n"), 1).otherwise(0)).alias("line_count"), T.newline_mode(feeds, F.sum("crlf")).alias("newline_mode"), F.sha2(F.array_join(digests["c"], ""), 256).alias("content_checksum"))
 
 
+def store(src: DataFrame, folder: str, options: ChunkOptions = ChunkOptions(), level: int = 3) -> None:
+    """``save(pack(src, options, level), folder)``, each table from those that are written already, so a text is placed and cut once.
+
+    Lines lie in the order of their places within files, but not by ranges of
+    places over files, which would move all text once more.
+    """
+    spark = src.sparkSession
+    if not C.duplicate_ids(src).isEmpty():
+        raise EvidenceError("duplicate_document_id")
+    docs = C.placed(src)
+    C.lines(docs).sortWithinPartitions("container_id", "line_no").write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+    C.chunk_plan(lines, options).write.parquet(f"{folder}/plan")
+    plan = spark.read.parquet(f"{folder}/plan")
+    packed = C.compressed(C.chunk_bytes(lines, plan, options.maximum), level)
+    chunks = C.joined(plan, packed, ["container_id", "chunk_id"])
+    chunks.sortWithinPartitions("container_id", "logical_offset").write.parquet(f"{folder}/chunks")
+    documents = C.document_index(docs, plan, options.maximum)
+    _write(documents, folder, "documents", ["doc_id"])
+    _write(summary(docs, documents), folder, "containers", ["container_id"])
+
+
+def _write(rows: DataFrame, folder: str, name: str, order: list[str]) -> None:
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def save(tables: Tables, folder: str) -> None:
     """Write the tables, each sorted by what it is looked up by."""
     for name, order in zip(TABLES, (["container_id", "line_no"], ["container_id", "logical_offset"], ["doc_id"], ["container_id"])):
-        getattr(tables, name).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{name}")
+        _write(getattr(tables, name), folder, name, order)
 
 
 def load(spark: SparkSession, folder: str) -> Tables:
