@@ -218,28 +218,35 @@ def document_list(spark, sf_dir):
 @query("SELECT doc_id, text, true AS verified FROM documents")
 def document_read_verified(spark, sf_dir):
     """Every document again, cut out of its container's chunks by its index entry, against its checksum."""
-    docs = C.placed(by_source(spark, sf_dir))
+    return read_verified(by_source(spark, sf_dir), CHUNKS)
+
+
+def read_verified(src: DataFrame, options: ChunkOptions) -> DataFrame:
+    """(doc_id, text, verified) of each document of a source, empty and null texts too."""
+    docs = C.placed(src.withColumn("_null", F.col("text").isNull()))
     lines = C.lines(docs)
-    chunks = C.chunk_plan(lines, CHUNKS)
-    stored = C.chunk_bytes(lines, chunks, CHUNKS.maximum)
-    spans = docs.select("container_id", "doc_id", "logical_offset", "byte_length", T.checksum(F.col("text")).alias("checksum"))
-    hits = C.overlaps(chunks, spans, CHUNKS.maximum).join(stored, ["container_id", "chunk_id"])
+    chunks = C.chunk_plan(lines, options)
+    stored = C.chunk_bytes(lines, chunks, options.maximum)
+    keys = ["container_id", "doc_id", "logical_offset", "byte_length", "checksum"]
+    spans = docs.select(*keys, "_null")
+    hits = C.overlaps(chunks, spans, options.maximum)
+    listed = hits.groupBy("container_id", "chunk_id").agg(F.collect_list(F.struct(*keys[1:], "c_low", "c_high")).alias("_in"))
+    held = C.joined(stored, listed, ["container_id", "chunk_id"]).select("container_id", "bytes", F.explode("_in").alias("x")).select("container_id", "bytes", "x.*")
     low = F.greatest("c_low", "logical_offset")
-    part = F.struct(low.alias("at"), A.cut_bytes(F.col("bytes"), low - F.col("c_low"), F.least(F.col("c_high"), F.col("logical_offset") + F.col("byte_length")) - low).alias("b"))
-    found = hits.groupBy("container_id", "doc_id", "checksum").agg(F.aggregate(F.sort_array(F.collect_list(part)), F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("b"))
-    return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("b").cast("string").alias("text"), (T.checksum(F.col("b")) == F.col("checksum")).alias("verified"))
+    cut = A.cut_bytes(F.col("bytes"), low - F.col("c_low"), F.least(F.col("c_high"), F.col("logical_offset") + F.col("byte_length")) - low)
+    found = held.select(*keys, low.alias("at"), cut.alias("b")).groupBy(*keys).agg(F.aggregate(F.sort_array(F.collect_list(F.struct("at", "b"))), F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("b"))
+    empty = spans.where("byte_length = 0").select("doc_id", F.when(~F.col("_null"), F.lit("")).alias("text"), (F.col("checksum") == T.checksum(F.lit(b""))).alias("verified"))
+    both = found.select("doc_id", F.col("b").cast("string").alias("text"), (T.checksum(F.col("b")) == F.col("checksum")).alias("verified")).union(empty)
+    return both.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 @query("SELECT source AS container_id, sum(strlen(text))::BIGINT AS exported_bytes, sha256(string_agg(text, '' ORDER BY doc_id)) AS checksum FROM documents GROUP BY source")
 def export_roundtrip(spark, sf_dir):
-    """Chunks compressed, decompressed and put together again; one container's text is one row here."""
+    """Chunks compressed, decompressed and put together again, each container's as a stream in one task."""
     lines = C.lines(C.placed(by_source(spark, sf_dir)))
     chunks = C.chunk_plan(lines, CHUNKS)
-    packed = C.compressed(C.chunk_bytes(lines, chunks, CHUNKS.maximum)).join(chunks, ["container_id", "chunk_id"])
-    out = C.decompressed(packed.select("container_id", "chunk_id", "uncompressed_size", "payload"))
-    parts = F.sort_array(F.collect_list(F.struct("chunk_id", "bytes")))
-    whole = out.groupBy("container_id").agg(F.sum(T.big(F.octet_length("bytes"))).alias("exported_bytes"), F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["bytes"])).alias("b"))
-    return whole.select("container_id", "exported_bytes", T.checksum(F.col("b")).alias("checksum"))
+    packed = C.compressed(C.chunk_bytes(lines, chunks, CHUNKS.maximum))
+    return C.exported(C.joined(chunks, packed, ["container_id", "chunk_id"]))
 
 
 # -- indexes -------------------------------------------------------------------------------
@@ -436,7 +443,7 @@ def stored_containers(spark: SparkSession, sf_dir: str) -> store.Tables:
     name = (spark.sparkContext.applicationId, sf_dir, "containers")
     if name not in _STORED:
         folder = store.shared_folder(spark, "containers")
-        store.save(store.pack(by_source(spark, sf_dir), CHUNKS), folder)
+        store.store(by_source(spark, sf_dir), folder, CHUNKS)
         _STORED[name] = folder
     return store.load(spark, _STORED[name])
 
