@@ -145,6 +145,22 @@ def checksum(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def _steps(ids: pa.Array) -> pa.Array:
+    def written(v: int) -> bytes:
+        out = bytearray()
+        while v >= 128:
+            out.append(v & 127 | 128)
+            v >>= 7
+        return bytes([*out, v])
+
+    return pa.array([b"".join(written(b - a) for a, b in zip([own[0], *own], own)) for own in ids.to_pylist()], pa.binary())
+
+
+def steps(ids: Column) -> Column:
+    """Differences of sorted numbers, the first 0, in seven-bit groups."""
+    return _arrow(_steps, "binary", 1)(ids)
+
+
 def joined_bytes(parts: Column) -> Column:
     """Binary parts as one, in linear time: a fold that concatenates copies what it has at each step."""
     return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
