@@ -128,3 +128,43 @@ def test_streaming(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/out").orderBy("line_no").select("line_no", "logical_offset", "byte_length", "line").collect()
     assert [tuple(r) for r in rows] == [(0, 0, 6, "alpha\n"), (1, 6, 4, "beta")]
     assert rows and F is not None
+
+
+@pytest.mark.parametrize("kind", ["token", "ngram"])
+def test_packed_postings_are_the_postings(spark, monkeypatch, kind, tmp_path):
+    monkeypatch.setattr(I, "BLOCK_CHARS", 900)
+    text = "".join(f"Common {chr(0x4E00 + 37 * k)}é word{k % 7}-_X {'rare' if k % 201 == 0 else ''}\n" for k in range(700)) + "\n\n!\nend"
+    own = lines(spark, text)
+    want = sorted(map(tuple, I.postings(own, kind).collect()))
+    assert sorted(map(tuple, I.unpacked(I.packed(own, kind)).collect())) == want
+    gaps = own.where("granule_id % 5 <> 3")
+    assert sorted(map(tuple, I.unpacked(I.packed(gaps, kind)).collect())) == [x for x in want if x[1] % 5 != 3]
+    I.store(own, str(tmp_path / "a"), kind)
+    I.save(I.build(own, kind), str(tmp_path / "b"))
+    for folder in ("a", "b"):
+        found = I.load(spark, str(tmp_path / folder), own)
+        assert sorted(map(tuple, found.postings.collect())) == want and I.violations(found).isEmpty()
+        assert sorted(map(tuple, found.terms.collect())) == sorted(map(tuple, I.terms(I.postings(own, kind)).collect()))
+
+
+def test_result_cap_beyond_the_first_beginning(spark, monkeypatch):
+    monkeypatch.setattr(S, "FIRST", 2)
+    monkeypatch.setattr(S, "LONGER", 2)
+    text = "".join("beta\n" if k % 3 else "alpha alpha\n" for k in range(40))
+    for cap in (1, 3, 9, 27, 28, 29):
+        r = find(spark, text, "alpha", options=SearchOptions(max_results=cap))
+        assert len(hits(r)) == min(cap, 28) == r.metrics["verified_matches"] and r.capped == (cap <= 28)
+        assert hits(r) == hits(find(spark, text, "alpha"))[:cap] and r.metrics["decoded_bytes"] == 12 * -(-min(cap, 28) // 2)
+
+
+def test_byte_budget_reads_just_lines_within_it(spark):
+    r = find(spark, "alpha 1\n" * 20, "alpha", options=SearchOptions(max_decoded_bytes=29))
+    assert len(hits(r)) == 3 and r.capped and (r.metrics["decoded_bytes"], r.metrics["candidate_granules"]) == (24, 20)
+
+
+def test_lines_of_small_documents_need_no_python_for_chunks(spark):
+    own = I.granules(spark.createDataFrame([(0, "a\nbb"), (1, "x" * 30 + "\n" + "é" * 9 + "\nend"), (2, ""), (3, None)], "doc_id bigint, text string"), options=ChunkOptions(8, 10))
+    assert [(r.container_id, r.chunk_start, r.chunk_end, r.chunk_sizes) for r in own.orderBy("granule_id").collect()] == [(0, 0, 1, [4]), (0, 0, 1, [4]), (1, 0, 4, [10, 10, 10, 1]), (1, 4, 6, [10, 9]), (1, 6, 7, [3])]
+    assert I.bare_granules(spark.createDataFrame([(0, "a\nbb")], "doc_id bigint, text string")).collect() == [(0, "a\n"), (1, "bb")]
+    for keys in (["a\n", "bb", "b"], ["ab"]):
+        assert sorted(map(tuple, I.postings(own, "ngram", 2, keys).collect())) == sorted(x for x in map(tuple, I.postings(own, "ngram", 2).collect()) if x[0] in keys)
