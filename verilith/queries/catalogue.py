@@ -254,24 +254,24 @@ def export_roundtrip(spark, sf_dir):
 
 @query(f"WITH {LINES}, {TOKEN_KEYS}, {TERMS} SELECT * FROM terms")
 def token_terms(spark, sf_dir):
-    return I.terms_of(granules(spark, sf_dir))
+    return I.terms_of(I.bare_granules(documents(spark, sf_dir)))
 
 
 @query(f"WITH {LINES}, {TOKEN_KEYS} SELECT key, granule_id FROM keyed")
 def token_postings(spark, sf_dir):
-    return I.postings(granules(spark, sf_dir))
+    return I.postings(I.bare_granules(documents(spark, sf_dir)))
 
 
 @query(f"WITH {LINES}, {NGRAM_KEYS}, {TERMS} SELECT * FROM terms WHERE length(key) = 3")
 def ngram_terms(spark, sf_dir):
-    return I.terms_of(granules(spark, sf_dir), "ngram")
+    return I.terms_of(I.bare_granules(documents(spark, sf_dir)), "ngram")
 
 
 @query(f"WITH {LINES}, {TOKEN_KEYS}, {TERMS} SELECT key, granule_frequency FROM terms WHERE granule_frequency * 1000000 // (SELECT greatest(count(*), 1) FROM granules) >= {HIGH_DF}")
 def high_df_terms(spark, sf_dir):
-    lines = granules(spark, sf_dir)
-    own = I.terms_of(lines).select("key", "granule_frequency")
-    return own.crossJoin(F.broadcast(lines.agg(F.count("*").alias("n")))).where(I.is_frequent(F.col("granule_frequency"), F.col("n"))).drop("n")
+    docs = documents(spark, sf_dir)
+    own = I.terms_of(I.bare_granules(docs)).select("key", "granule_frequency")
+    return own.crossJoin(F.broadcast(I.loose_lines(docs).agg(F.count("*").alias("n")))).where(I.is_frequent(F.col("granule_frequency"), F.col("n"))).drop("n")
 
 
 _SIZE = f"""WITH {LINES}, {TOKEN_KEYS}, {TERMS}, n AS (SELECT count(*)::BIGINT AS g FROM granules),
@@ -280,15 +280,15 @@ sized AS (SELECT *, (SELECT {VARINT} FROM (SELECT strlen(key) AS d)) + (SELECT {
 
 @query(f"{_SIZE} SELECT any_value(g)::BIGINT AS granule_count, count(*)::BIGINT AS term_count, sum(posting_size)::BIGINT AS postings_size, (16 + 20 * any_value(g) + sum(entry) + sum(posting_size))::BIGINT AS index_size_bytes FROM sized, n")
 def index_size(spark, sf_dir):
-    lines = granules(spark, sf_dir)
-    return I.index_size(I.terms_of(lines), lines.count())
+    docs = documents(spark, sf_dir)
+    return I.index_size(I.terms_of(I.bare_granules(docs)), I.granule_count(docs))
 
 
 @query(f"WITH {LINES}, {TOKEN_KEYS}, {TERMS} SELECT 'token' AS kind, true AS complete, {HIGH_DF} AS high_df_per_million, (SELECT count(*) FROM granules)::BIGINT AS granule_count, count(*)::BIGINT AS term_count, sum(granule_frequency)::BIGINT AS posting_count, max(granule_frequency)::BIGINT AS longest_list FROM terms")
 def index_inspect(spark, sf_dir):
-    lines = granules(spark, sf_dir)
-    sums = I.terms_of(lines).agg(F.count("*").alias("term_count"), F.sum("granule_frequency").alias("posting_count"), F.max("granule_frequency").alias("longest_list"))
-    return sums.crossJoin(F.broadcast(lines.agg(F.count("*").alias("granule_count")))).select(F.lit("token").alias("kind"), F.lit(True).alias("complete"), F.lit(HIGH_DF).alias("high_df_per_million"), "granule_count", "term_count", "posting_count", "longest_list")
+    docs = documents(spark, sf_dir)
+    sums = I.terms_of(I.bare_granules(docs)).agg(F.count("*").alias("term_count"), F.sum("granule_frequency").alias("posting_count"), F.max("granule_frequency").alias("longest_list"))
+    return sums.crossJoin(F.broadcast(I.loose_lines(docs).agg(F.count("*").alias("granule_count")))).select(F.lit("token").alias("kind"), F.lit(True).alias("complete"), F.lit(HIGH_DF).alias("high_df_per_million"), "granule_count", "term_count", "posting_count", "longest_list")
 
 
 @query("SELECT * FROM (VALUES ('same', true), ('other', false)) AS t(source, bound)")
@@ -310,7 +310,7 @@ def stored_index(spark: SparkSession, sf_dir: str, kind: str = "token") -> I.Ind
     name = (spark.sparkContext.applicationId, sf_dir, kind)
     if name not in _STORED:
         folder = store.shared_folder(spark, f"index-{kind}")
-        I.save(I.build(granules(spark, sf_dir), kind), folder)
+        I.store(granules(spark, sf_dir), folder, kind)
         _STORED[name] = folder
     return I.load(spark, _STORED[name])
 
@@ -406,9 +406,9 @@ def search_metrics(spark, sf_dir):
 @query(f"WITH {LINES}, {NGRAM_KEYS}, n AS (SELECT count(*) AS g FROM granules), t AS (SELECT key, count(*)::BIGINT AS granule_frequency FROM keyed WHERE key IN ('tio', 'ion', 'on ', 'n t', ' th', 'the') GROUP BY key), o AS (SELECT *, granule_frequency * 1000000 // g >= {HIGH_DF} AS high_df FROM t, n) SELECT key, granule_frequency, high_df, row_number() OVER (ORDER BY high_df, granule_frequency, key)::INTEGER AS position FROM o")
 def planner_decision(spark, sf_dir):
     """The order in which the planner takes the keys of a substring query."""
-    lines = granules(spark, sf_dir)
-    index = ad_hoc(lines, SUBSTRING, "ngram")
-    flag = index.terms.select("key", "granule_frequency", I.is_frequent(F.col("granule_frequency"), F.lit(index.granule_count)).alias("high_df"))
+    docs = documents(spark, sf_dir)
+    posted = I.postings(I.loose_lines(docs).withColumn("granule_id", F.lit(0)), "ngram", 3, T.query_keys(SUBSTRING, "ngram"))  # no more than how often each key occurs is asked for
+    flag = posted.groupBy("key").agg(F.count("*").alias("granule_frequency")).select("key", "granule_frequency", I.is_frequent(F.col("granule_frequency"), F.lit(I.granule_count(docs))).alias("high_df"))
     return flag.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("high_df", "granule_frequency", "key")))
 
 
@@ -425,7 +425,7 @@ SELECT asked.query_id, coalesce(candidate_granules, 0)::BIGINT AS candidate_gran
 def search_batch(spark, sf_dir):
     """All benchmark items at once, each by all its tokens."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.array_distinct(T.tokens(F.col("text"))).alias("keys"))
-    return S.search_batch(granules(spark, sf_dir), items)
+    return S.search_batch(I.loose_lines(documents(spark, sf_dir)), items)
 
 
 @query(f"{_substring_sql(OVERLAP)} SELECT container_id AS doc_id, count(*)::BIGINT AS occurrences FROM hits GROUP BY container_id")
